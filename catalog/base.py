@@ -13,8 +13,17 @@ from pairsift.scale import ordered_scan
 from pairsift.schema import FAMILIES
 from pairsift.sources.tables import load_tables
 
-NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-         "events", "documents", "labels")
+
+class Raw(dict):
+    """Given tables by name, opened on first use."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__()
+        self.spark, self.folder = spark, folder
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = load_tables(self.spark, self.folder, {name: f"{name}.parquet"})[name]
+        return self[name]
 
 
 class Tables:
@@ -25,8 +34,8 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     @cached_property
-    def raw(self) -> dict[str, DataFrame]:
-        return load_tables(self.spark, self.folder, {n: f"{n}.parquet" for n in NAMES})
+    def raw(self) -> "Raw":
+        return Raw(self.spark, self.folder)
 
     @cached_property
     def hands(self) -> DataFrame:
@@ -43,18 +52,20 @@ class Tables:
     @cached_property
     def seats(self) -> DataFrame:
         """A supplier's lines in an order are one seat."""
-        li = self.raw["lineitem"]
-        card = lambda q: F.substring(F.lit("23456789TJQKA"), q.cast("int") % 13 + 1, F.lit(1))
+        # Letters are aggregated as codes: text buffers would force a sort-based aggregate.
+        li = self.raw["lineitem"].withColumns({"rf": F.ascii("l_returnflag"), "ls": F.ascii("l_linestatus")})
+        card = lambda q, c: F.concat(
+            F.substring(F.lit("23456789TJQKA"), q.cast("int") % 13 + 1, F.lit(1)), F.lower(F.chr(c)))
         net = F.col("l_extendedprice") * (F.col("l_tax") - F.col("l_discount"))
         return li.groupBy(F.col("l_orderkey").alias("hand_id"), F.col("l_suppkey").alias("player_id")).agg(
             F.min("l_linenumber").alias("seat_no"),
-            F.concat(card(F.min("l_quantity")), F.lower(F.min("l_returnflag"))).alias("hole_card_1"),
-            F.concat(card(F.max("l_quantity")), F.lower(F.max("l_returnflag"))).alias("hole_card_2"),
+            card(F.min("l_quantity"), F.min("rf")).alias("hole_card_1"),
+            card(F.max("l_quantity"), F.max("rf")).alias("hole_card_2"),
             F.lit(10000.0).alias("starting_stack"),
             F.round(F.sum("l_extendedprice"), 2).alias("total_contribution"),
             F.round(F.sum(net), 4).alias("net_chips"),
-            (F.max("l_returnflag") == "R").alias("folded"),
-            (F.min("l_linestatus") == "F").alias("went_to_showdown"),
+            (F.max("rf") == ord("R")).alias("folded"),
+            (F.min("ls") == ord("F")).alias("went_to_showdown"),
             F.when(F.round(F.sum(net), 4) > 0, 1.0).otherwise(0.0).alias("won_share"),
             flag(F.max("l_discount") >= 0.09).alias("flagged"),
         )
@@ -144,7 +155,10 @@ class Tables:
         return P.player_hands(self.seats, self.hands, self.action_features)
 
     def pair_hands(self, phase: str = "development") -> DataFrame:
-        return P.pair_hands(self.player_hands, self.pairs, phase, check=False, extra=["flagged", "started_at"])
+        return P.pair_hands(
+            self.player_hands, self.pairs, phase, check=False, extra=["flagged", "started_at"],
+            roster=self.seats, prefilter=False,
+        )
 
     @cached_property
     def scored(self) -> DataFrame:

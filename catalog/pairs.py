@@ -56,7 +56,7 @@ def met_pairs(t):
     FROM pairs q JOIN seats a ON a.player_id = player_1 JOIN seats b ON b.player_id = player_2 AND a.hand_id = b.hand_id""",
     "net_chips_1 net_chips_2"))
 def attach_sides(t):
-    member = P.co_membership(t.seats, t.pairs, check=False)
+    member = P.co_membership(t.seats, t.pairs, check=False, prefilter=False)
     return P.attach_sides(member, t.seats, ["net_chips", "folded"]).select(
         "pair_id", "hand_id", "net_chips_1", "net_chips_2", "folded_1", "folded_2")
 
@@ -121,7 +121,7 @@ def map_pairs(t):
     LEFT JOIN (SELECT a.player_id AS src, b.player_id AS dst, count(*) AS w FROM seats a JOIN seats b ON a.hand_id = b.hand_id
         WHERE a.net_chips < 0 AND b.net_chips > 0 GROUP BY 1, 2) r ON r.src = player_2 AND r.dst = player_1"""))
 def directed_to_pair(t):
-    member = P.attach_sides(P.co_membership(t.seats, t.pairs, check=False), t.seats, ["net_chips"])
+    member = P.attach_sides(P.co_membership(t.seats, t.pairs, check=False, prefilter=False), t.seats, ["net_chips"])
     loss = lambda a, b: (F.col(f"net_chips_{a}") < 0) & (F.col(f"net_chips_{b}") > 0)
     edges = member.groupBy(
         F.when(loss(1, 2), F.col("player_1")).when(loss(2, 1), F.col("player_2")).alias("src"),

@@ -131,6 +131,10 @@ def pair_features(pair_hands: DataFrame, pairs: DataFrame, players: DataFrame, l
     from .pairs import compare_players
 
     key = ["pair_id"]
+    # The requested pairs' exposure bounds the group size and is cheaper than counting.
+    largest = None
+    if "shared_hands" in pairs.columns:
+        largest = pairs.agg(F.max("shared_hands")).first()[0] or 0
     x, y = F.sum("transfer_1_to_2_bb"), F.sum("transfer_2_to_1_bb")
     binned = pair_hands.withColumn("__bin", time_bin("phase_progress"))
     plain = binned.groupBy(*key).agg(
@@ -149,7 +153,7 @@ def pair_features(pair_hands: DataFrame, pairs: DataFrame, players: DataFrame, l
     })
     p95 = exact_quantiles(
         pair_hands.select("pair_id", *[F.col(c).cast("double").alias(c) for c in SUMMARY_FIELDS]),
-        key, SUMMARY_FIELDS, {"__p95": 0.95}, limit,
+        key, SUMMARY_FIELDS, {"__p95": 0.95}, limit, largest,
     )
     base = [c for c in ("pair_id", "player_1", "player_2", "shared_hands") if c in pairs.columns]
     out = pairs.select(*base).join(plain, "pair_id", "left").join(p95, "pair_id", "left")

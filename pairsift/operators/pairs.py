@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.game import card_strength, orient, pair_key, pair_measures, pair_signals
-from ..functions.scalars import num0
 from ..scale import large_groups, numbered, ordered_scan
 from ..schema import ACTION_MEASURES, BASELINE_MEASURES, FAMILIES, PAIR_MEASURES, SAME_COLUMNS, SIGNALS
 from .agg import baselines
@@ -45,60 +44,64 @@ def check_unique_pairs(pairs: DataFrame) -> None:
     require_empty(duplicate_keys(keyed, ["pair_key"]), "a pair is requested more than once")
 
 
-def _match(seats: DataFrame, pairs: DataFrame, group: str, member: str, carry: list[str],
-           small_group: int) -> DataFrame:
-    """(pair_id, group, player_1, player_2, carry_1.., carry_2..) for members sharing a group."""
-    want = _requested(pairs)
-    members = want.select(F.explode(F.array("low", "high")).alias(member)).distinct()
-    seats = seats.select(group, member, *carry).join(members, member, "left_semi")
-    big = large_groups(seats, [group], small_group)
+def _members_of(want: DataFrame, member: str) -> DataFrame:
+    return want.select(F.explode(F.array("low", "high")).alias(member)).distinct()
+
 
-    def side(frame, suffix, swap):
-        return [
-            F.when(swap, F.col(f"{c}__h")).otherwise(F.col(f"{c}__l")).alias(f"{c}_1") if suffix == 1
-            else F.when(swap, F.col(f"{c}__l")).otherwise(F.col(f"{c}__h")).alias(f"{c}_2")
-            for c in carry
-        ]
+def _list_pairs(rows: DataFrame, group: str, member: str, carry: list[str]) -> DataFrame:
+    """Member pairs (low < high) of groups known to be small, from one pass over the rows."""
+    packed = rows.groupBy(group).agg(F.collect_list(F.struct(F.col(member), *carry)).alias("__m"))
+    first = packed.select(group, "__m", F.explode("__m").alias("__a"))
+    both = first.select(
+        group, "__a", F.explode(F.filter("__m", lambda x: x[member] > F.col(f"__a.{member}"))).alias("__b")
+    )
+    return both.select(
+        group, F.col(f"__a.{member}").alias("low"), F.col(f"__b.{member}").alias("high"),
+        *[F.col(f"__a.{c}").alias(f"{c}_1") for c in carry], *[F.col(f"__b.{c}").alias(f"{c}_2") for c in carry],
+    )
 
-    def half(frame, tag, name):
-        return frame.select(group, F.col(member).alias(name), *[F.col(c).alias(f"{c}__{tag}") for c in carry])
 
-    def shape(joined):
-        swap = F.col("player_1") != F.col("low")
-        return joined.select(
-            "pair_id", group, "player_1", "player_2", *side(joined, 1, swap), *side(joined, 2, swap)
-        )
+def _match(seats: DataFrame, pairs: DataFrame, group: str, member: str, carry: list[str], small_group: int,
+           project=None, roster: DataFrame | None = None, prefilter: bool = True) -> DataFrame:
+    """Requested pairs with each group they share: `carry` of the lower id as `_1`, higher as `_2`.
 
-    small = seats if big is None else seats.join(big, group, "left_anti")
-    listed = half(small, "l", "low").join(half(small, "h", "high"), group).where(F.col("low") < F.col("high"))
-    result = shape(listed.join(want, ["low", "high"]))
+    `project` reduces the carried columns before the pair lookup. `roster` is a cheaper
+    frame with at least the same group memberships, used for the size check only.
+    """
+    project = project or (lambda d: d)
+    want = _requested(pairs)
+    rows = seats.select(group, member, *carry)
+    if prefilter:
+        rows = rows.join(_members_of(want, member), member, "left_semi")
+    big = large_groups(roster if roster is not None else seats, [group], small_group)
+    small = rows if big is None else rows.join(big, group, "left_anti")
+    result = project(_list_pairs(small, group, member, carry)).join(want, ["low", "high"])
     if big is None:
         return result
 
     # Large groups: start from the requested pair's rarer member, then look up the other.
-    rest = seats.join(big, group, "left_semi")
+    rest = rows.join(big, group, "left_semi")
+    half = lambda name, i: rest.select(
+        group, F.col(member).alias(name), *[F.col(c).alias(f"{c}_{i}") for c in carry])
     seen = rest.groupBy(member).agg(F.count(F.lit(1)).alias("n"))
     sized = (
-        want.join(seen.select(F.col(member).alias("low"), F.col("n").alias("n_low")), "low")
+        want.select("low", "high").distinct()
+        .join(seen.select(F.col(member).alias("low"), F.col("n").alias("n_low")), "low")
         .join(seen.select(F.col(member).alias("high"), F.col("n").alias("n_high")), "high")
     )
-    by_low = (
-        sized.where("n_low <= n_high").join(half(rest, "l", "low"), "low")
-        .join(half(rest, "h", "high"), [group, "high"])
-    )
-    by_high = (
-        sized.where("n_low > n_high").join(half(rest, "h", "high"), "high")
-        .join(half(rest, "l", "low"), [group, "low"])
-    )
-    return result.unionByName(shape(by_low)).unionByName(shape(by_high))
+    by_low = sized.where("n_low <= n_high").join(half("low", 1), "low").join(half("high", 2), [group, "high"])
+    by_high = sized.where("n_low > n_high").join(half("high", 2), "high").join(half("low", 1), [group, "low"])
+    probed = by_low.unionByName(by_high).drop("n_low", "n_high")
+    return result.unionByName(project(probed).join(want, ["low", "high"]))
 
 
 def co_membership(seats: DataFrame, pairs: DataFrame, group: str = "hand_id", member: str = "player_id",
-                  small_group: int = SMALL_GROUP, check: bool = True) -> DataFrame:
+                  small_group: int = SMALL_GROUP, check: bool = True, prefilter: bool = True) -> DataFrame:
     """Groups in which both members of a requested pair take part."""
     if check:
         check_unique_pairs(pairs)
-    return _match(seats, pairs, group, member, [], small_group)
+    matched = _match(seats, pairs, group, member, [], small_group, prefilter=prefilter)
+    return matched.select("pair_id", group, "player_1", "player_2")
 
 
 def attach_sides(membership: DataFrame, measures: DataFrame, cols: list[str],
@@ -121,19 +124,39 @@ SIDE_COLUMNS = [
 
 
 def pair_hands(players: DataFrame, pairs: DataFrame, phase: str, small_group: int = SMALL_GROUP,
-               check: bool = True, keep_sides: bool = False, extra: list[str] | None = None) -> DataFrame:
-    """Pair-hand table. Both sides' measures ride through the one join on the group."""
+               check: bool = True, extra: list[str] | None = None, roster: DataFrame | None = None,
+               prefilter: bool = True) -> DataFrame:
+    """Pair-hand table: shared group, both sides' measures combined, and the three signals.
+
+    The measures are computed while the pairs of a group are listed, so only they reach the
+    pair lookup, not the two sides. `extra` columns are constant in a group or taken from
+    the lower id.
+    """
     if check:
         check_unique_pairs(pairs)
+    extra = extra or []
+
+    def measured(rows):
+        wide = rows.withColumns(pair_measures())
+        return wide.select(
+            "hand_id", "low", "high", F.col("table_id_1").alias("table_id"),
+            F.col("phase_progress_1").alias("phase_progress"),
+            *[F.col(f"{c}_1").alias(c) for c in extra], *PAIR_MEASURES,
+        )
+
     rows = players.where(F.col("phase") == phase)
-    matched = _match(rows, pairs, "hand_id", "player_id", [*SIDE_COLUMNS, *(extra or [])], small_group)
-    out = matched.withColumns({"table_id": F.col("table_id_1"), "phase_progress": F.col("phase_progress_1")})
-    out = out.withColumns(pair_measures()).withColumns(pair_signals())
-    if keep_sides:
-        return out
+    out = _match(rows, pairs, "hand_id", "player_id", [*SIDE_COLUMNS, *extra], small_group,
+                 measured, roster, prefilter)
+    # Sides were taken in id order; turn the two flows to the request's order.
+    turned = F.col("player_1") != F.col("low")
+    a, b = F.col("transfer_1_to_2_bb"), F.col("transfer_2_to_1_bb")
+    out = out.withColumns({
+        "transfer_1_to_2_bb": F.when(turned, b).otherwise(a),
+        "transfer_2_to_1_bb": F.when(turned, a).otherwise(b),
+        **pair_signals(),
+    })
     return out.select(
-        "pair_id", "hand_id", "player_1", "player_2", "table_id", "phase_progress",
-        *[F.col(f"{c}_1").alias(c) for c in extra or []],
+        "pair_id", "hand_id", "player_1", "player_2", "table_id", "phase_progress", *extra,
         *PAIR_MEASURES, *SIGNALS,
     )
 
@@ -149,35 +172,32 @@ def met_pairs(seats: DataFrame, pool: str | None = None, min_shared: int = 1, gr
     """
     part = [pool] if pool else []
     rows = seats.select(group, member, *part).dropDuplicates([group, member])
-
-    def listed(frame):
-        left = frame.select(group, *part, F.col(member).alias("low"))
-        right = frame.select(F.col(group), F.col(member).alias("high"))
-        return left.join(right, group).where(F.col("low") < F.col("high"))
-
-    big = large_groups(rows, [group], small_group)
+    big = large_groups(seats, [group], small_group)
     if big is None:
-        counts = listed(rows).groupBy("low", "high").agg(
-            F.count(F.lit(1)).alias("shared_hands"), *[F.min(p).alias(p) for p in part]
+        counts = _list_pairs(rows, group, member, part).groupBy("low", "high").agg(
+            F.count(F.lit(1)).alias("shared_hands"), *[F.min(f"{p}_1").alias(p) for p in part]
         )
         return counts.where(F.col("shared_hands") >= min_shared)
 
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
     ranked = ordered_scan(
-        rows.join(sizes, group), [F.col("__size").desc(), F.col(group).desc()], [member],
+        rows.select(group, member).join(sizes, group), [F.col("__size").desc(), F.col(group).desc()], [member],
         sums={"__from_last": F.lit(1)}, limit=limit,
     )
-    found = listed(ranked.where(F.col("__from_last") >= min_shared)).select("low", "high").distinct()
+    kept = ranked.where(F.col("__from_last") >= min_shared).select(group, member)
+    found = (
+        kept.withColumnRenamed(member, "low").join(kept.withColumnRenamed(member, "high"), group)
+        .where(F.col("low") < F.col("high")).select("low", "high").distinct()
+    )
     asked = found.select(
-        F.col("low").alias("player_1"), F.col("high").alias("player_2"),
-        pair_key("low", "high").alias("pair_id"),
+        F.col("low").alias("player_1"), F.col("high").alias("player_2"), pair_key("low", "high").alias("pair_id")
+    )
+    counts = (
+        _match(rows, asked, group, member, [], small_group, prefilter=False).groupBy("low", "high")
+        .agg(F.count(F.lit(1)).alias("shared_hands")).where(F.col("shared_hands") >= min_shared)
     )
-    pools = rows.groupBy(member).agg(*[F.min(p).alias(p) for p in part]) if part else None
-    counts = _match(rows, asked, group, member, [], small_group).groupBy("player_1", "player_2").agg(
-        F.count(F.lit(1)).alias("shared_hands")
-    ).where(F.col("shared_hands") >= min_shared).withColumnsRenamed({"player_1": "low", "player_2": "high"})
-    if pools is not None:
-        counts = counts.join(pools.withColumnRenamed(member, "low"), "low")
+    for p in part:
+        counts = counts.join(rows.groupBy(F.col(member).alias("low")).agg(F.min(p).alias(p)), "low")
     return counts.select("low", "high", "shared_hands", *part)
 
 

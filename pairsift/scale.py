@@ -21,16 +21,30 @@ def as_col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+_known: dict[tuple, int] = {}
+
+
 def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows in the largest group; counts combine before the shuffle."""
-    if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    """Rows in the largest group; counts combine before the shuffle.
 
+    The answer only steers how a group is processed, so it is kept per plan and session.
+    """
+    frame = df.select(*keys) if keys else df
+    known = (df.sparkSession.sparkContext.applicationId, frame.semanticHash(), tuple(keys))
+    if known not in _known:
+        if keys:
+            _known[known] = frame.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        else:
+            _known[known] = frame.count()
+    return _known[known]
 
-def large_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
-    """Keys of groups above `limit` rows, or None when there is none."""
-    if largest_group(df, keys) <= limit:
+
+def large_groups(df: DataFrame, keys: list[str], limit: int, largest: int | None = None) -> DataFrame | None:
+    """Keys of groups above `limit` rows, or None when there is none.
+
+    `largest` is a known bound on the group size, which saves the count.
+    """
+    if (largest_group(df, keys) if largest is None else largest) <= limit:
         return None
     return df.groupBy(*keys).count().where(F.col("count") > limit).drop("count")
 
@@ -47,12 +61,12 @@ def same_keys_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def split_large(df: DataFrame, keys: list[str], limit: int, rows: int | None = None):
+def split_large(df: DataFrame, keys: list[str], limit: int, largest: int | None = None):
     """Rows of groups within `limit`, and rows of the larger groups (None when none)."""
     if not keys:
-        rows = df.count() if rows is None else rows
+        rows = largest_group(df, []) if largest is None else largest
         return (df, None) if rows <= limit else (df.where(F.lit(False)), df)
-    large = large_groups(df, keys, limit)
+    large = large_groups(df, keys, limit, largest)
     if large is None:
         return df, None
     return same_keys_join(df, large, keys, "left_anti"), same_keys_join(df, large, keys, "left_semi")
@@ -184,12 +198,12 @@ def pick_nearest(p: float, value: str = "value") -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], cols: list[str], probs: dict[str, float], limit=None, rows=None
+    df: DataFrame, keys: list[str], cols: list[str], probs: dict[str, float], limit=None, largest=None
 ) -> DataFrame:
     """Linear quantiles per group; columns `{col}{suffix}` for each `suffix: p` in probs."""
     limit = limit or max_group_rows(df.sparkSession)
     names = [(c, s, p) for c in cols for s, p in probs.items()]
-    small, large = split_large(df, keys, limit, rows)
+    small, large = split_large(df, keys, limit, largest)
 
     def builtin(frame):
         return frame.groupBy(*keys).agg(

@@ -48,7 +48,7 @@ def rows_of(cols, rows):
 
 def compare(df, con, sql: str):
     """None when equal, else a description of the first difference."""
-    got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    got_cols, got = rows_of(df.columns, [tuple(r.values()) for r in df.toArrow().to_pylist()])
     rel = con.sql(sql)
     want_cols, want = rows_of(rel.columns, rel.fetchall())
     if got_cols != want_cols:
