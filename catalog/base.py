@@ -137,6 +137,13 @@ class Tables:
             F.col("high").alias("player_2"), "shared_hands",
         )
 
+    @cached_property
+    def known_pairs(self) -> DataFrame:
+        """Pairs of suppliers from one nation count as already judged."""
+        side = lambda i: self.players.select(F.col("player_id").alias(f"player_{i}"), F.col("pool").alias(f"pool_{i}"))
+        both = self.pairs.join(side(1), "player_1").join(side(2), "player_2")
+        return both.where("pool_1 = pool_2").drop("pool_1", "pool_2")
+
     @cached_property
     def action_features(self) -> DataFrame:
         """Action measures of a seat, from its lines: each line is one action."""
@@ -252,6 +259,8 @@ CTE: dict[str, tuple[str, str]] = {
             count(*) AS shared_hands
         FROM seats a JOIN seats b ON a.hand_id = b.hand_id AND a.player_id < b.player_id
         GROUP BY a.player_id, b.player_id HAVING count(*) >= 2"""),
+    "known_pairs": ("pairs players", """
+        SELECT q.* FROM pairs q JOIN players a ON a.player_id = q.player_1 JOIN players b ON b.player_id = q.player_2 AND a.pool = b.pool"""),
     "line_actions": ("", """
         SELECT l_orderkey AS hand_id, l_suppkey AS player_id,
             CASE WHEN l_returnflag = 'R' THEN 'fold' WHEN l_discount >= 0.07 THEN 'raise' WHEN l_discount >= 0.05 THEN 'call'
@@ -356,6 +365,8 @@ def sql(needs: str, body: str, r: str = "", digits: int = 6) -> str:
     if r:
         rounds = ", ".join(f"round({c}, {digits}) + 0e0 AS {c}" for c in r.split())
         body = f"SELECT * REPLACE ({rounds}) FROM ({body})"
+    if with_ and body.lstrip().startswith("WITH"):
+        body = f"SELECT * FROM ({body})"
     return f"WITH {with_} {body}" if with_ else body
 
 

@@ -77,11 +77,11 @@ def pool_pairs(t):
     return P.pool_pairs(t.players, "pool", met, max_members=128)
 
 
-@register("j08_unlabelled_pairs", sql("pairs", """
+@register("j08_unlabelled_pairs", sql("known_pairs", """
     SELECT pair_id, player_1, player_2, shared_hands, 'unlabeled' AS label_status, 'unlabeled' AS training_role
-    FROM pairs WHERE shared_hands >= 3 AND (player_1 + player_2) % 7 <> 0"""))
+    FROM pairs WHERE shared_hands >= 3 AND pair_id NOT IN (SELECT pair_id FROM known_pairs)"""))
 def unlabelled(t):
-    known = t.pairs.where((F.col("player_1") + F.col("player_2")) % 7 == 0).select(
+    known = t.known_pairs.select(  # asked in the other order
         F.col("player_2").alias("player_1"), F.col("player_1").alias("player_2"))
     return P.unlabelled_pairs(t.pairs, known, 3)
 

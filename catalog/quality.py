@@ -148,12 +148,12 @@ def readiness(t):
     return Q.feature_readiness(li, READY)
 
 
-@register("q12_latent_violations", sql("pairs", """
+@register("q12_latent_violations", sql("known_pairs", """
     SELECT 'label_column' AS rule, CAST(0 AS BIGINT) AS breaches UNION ALL SELECT 'role', CAST(0 AS BIGINT) UNION ALL SELECT 'duplicate_id', CAST(0 AS BIGINT)
-    UNION ALL SELECT 'known_pair', count(*) FROM pairs WHERE shared_hands >= 3 AND (player_1 + player_2) % 7 = 0"""))
+    UNION ALL SELECT 'known_pair', count(*) FROM known_pairs WHERE shared_hands >= 3"""))
 def latent(t):
     unl = t.pairs.where("shared_hands >= 3").withColumn("training_role", F.lit("unlabeled"))
-    return Q.latent_violations(unl, t.pairs.where((F.col("player_1") + F.col("player_2")) % 7 == 0))
+    return Q.latent_violations(unl, t.known_pairs)
 
 
 @register("q13_forbidden_columns", sql("", """
