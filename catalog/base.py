@@ -349,6 +349,10 @@ CTE: dict[str, tuple[str, str]] = {
 }
 
 
+# Tables that later ones read more than once.
+SHARED = {"seats", "player_rows", "player_hands", "context", "evidence_hands", "pairs", "actions"}
+
+
 def sql(needs: str, body: str, r: str = "", digits: int = 6) -> str:
     """WITH the needed role tables, and the listed float columns rounded."""
     order: list[str] = []
@@ -361,7 +365,7 @@ def sql(needs: str, body: str, r: str = "", digits: int = 6) -> str:
 
     for name in needs.split():
         visit(name)
-    with_ = ", ".join(f"{n} AS ({CTE[n][1]})" for n in order)
+    with_ = ", ".join(f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({CTE[n][1]})" for n in order)
     if r:
         rounds = ", ".join(f"round({c}, {digits}) + 0e0 AS {c}" for c in r.split())
         body = f"SELECT * REPLACE ({rounds}) FROM ({body})"

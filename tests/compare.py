@@ -10,6 +10,7 @@ from decimal import Decimal
 
 import duckdb
 
+VERBOSE = False
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
@@ -48,9 +49,13 @@ def rows_of(cols, rows):
 
 def compare(df, con, sql: str):
     """None when equal, else a description of the first difference."""
+    t0 = time.time()
     got_cols, got = rows_of(df.columns, [tuple(r.values()) for r in df.toArrow().to_pylist()])
+    t1 = time.time()
     rel = con.sql(sql)
     want_cols, want = rows_of(rel.columns, rel.fetchall())
+    if VERBOSE:
+        print(f"    spark {t1 - t0:.1f}s duckdb {time.time() - t1:.1f}s")
     if got_cols != want_cols:
         return f"columns {got_cols} vs {want_cols}"
     if len(got) != len(want):
@@ -74,6 +79,8 @@ def main(argv: list[str]) -> None:
     import __spark_entry__ as entry
     from pairsift.session import local_session
 
+    global VERBOSE
+    VERBOSE = True
     spark = local_session(8)
     folder = argv[0]
     con = connect(folder)
