@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -11,7 +12,8 @@ from pairsift.functions.scalars import flag
 from pairsift.operators import agg, pairs as P, windows as WN
 from pairsift.scale import ordered_scan
 from pairsift.schema import FAMILIES
-from pairsift.sources.tables import load_tables
+from pairsift.session import ensure_checkpoint_dir
+from pairsift.sources.tables import load_tables, materialize
 
 
 class Raw(dict):
@@ -33,6 +35,12 @@ class Tables:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
+    def stage(self, df: DataFrame) -> DataFrame:
+        """A stage table in the shared checkpoint folder, for what a query reads several times."""
+        ensure_checkpoint_dir(self.spark)
+        path = f"{self.spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+        return materialize(self.spark, lambda: df, path)
+
     @cached_property
     def raw(self) -> "Raw":
         return Raw(self.spark, self.folder)
@@ -182,7 +190,7 @@ class Tables:
     @cached_property
     def evidence_hands(self) -> DataFrame:
         """Development pair-hands, the five strongest flagged hands of a pair being evidence."""
-        ph = self.pair_hands("development")
+        ph = self.stage(self.pair_hands("development"))
         best = WN.top_k(
             ph.where("flagged = 1").select("pair_id", "hand_id", "transfer_any_bb"), ["pair_id"],
             [F.col("transfer_any_bb").desc(), F.col("hand_id")], 5, "evidence_rank",
@@ -191,7 +199,7 @@ class Tables:
         family = F.element_at(
             F.array(*[F.lit(f) for f in FAMILIES]), ((F.col("player_1") + F.col("player_2")) % 3 + 1).cast("int")
         )
-        return (
+        return self.stage(
             ph.drop("table_id").join(best, ["pair_id", "hand_id"], "left").na.fill(0, ["is_evidence"])
             .join(sup, "player_1").withColumnRenamed("pool", "table_id")
             .withColumns({"behavior_family": family, "outer_fold": (F.col("table_id") % 5).cast("int")})

@@ -1,9 +1,10 @@
 """Source and sink queries."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
+from pairsift.session import ensure_checkpoint_dir
 from pairsift.sources import sinks as S, tables as T
 
 from .base import register, sql
@@ -11,11 +12,9 @@ from .base import register, sql
 
 def _scratch(t, name: str) -> str:
     """Work folder beside the session's checkpoint folder, new for each call."""
-    from pairsift.session import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(t.spark)
     base = t.spark.sparkContext.getCheckpointDir()
-    return f"{base}/stage-{name}-{tempfile._get_candidate_names().__next__()}"
+    return f"{base}/stage-{name}-{uuid.uuid4().hex}"
 
 
 @register("io01_load_tables", sql("", """

@@ -104,8 +104,7 @@ QAP = f"""SELECT m.*, ap AS query_ap5 FROM (SELECT pair_id, min(table_id) AS tab
 def queried(t):
     rows = t.evidence_hands.withColumn("s1", F.round("directed_signal", 1))
     rows = evidence_bearing(rows, ["pair_id"], "is_evidence")
-    q = M.query_ap(rows, "s1")
-    return q.join(rows.groupBy("pair_id").agg(F.min("behavior_family").alias("behavior_family")), "pair_id")
+    return t.stage(M.query_ap(rows, "s1", keep=["behavior_family"]))
 
 
 @register("m07_query_ap", sql("evidence_hands", f"SELECT * REPLACE (CAST(outer_fold AS INTEGER) AS outer_fold) FROM ({QAP})", "query_ap5"))

@@ -9,10 +9,9 @@ from pyspark.sql.window import Window as W
 
 from ..functions.game import action_flags, event_ratio, orient
 from ..functions.scalars import clip, num0, safe_ratio, time_bin, total
-from ..scale import (
-    as_col, exact_quantiles, pick_nearest, same_keys_join, to_long, value_counts_scan,
-)
-from ..schema import ACTION_MAXIMA, ACTION_MEASURES, ACTION_SUMS, INTERACTION_COUNTS, SIGNALS, SUMMARY_FIELDS
+from ..scale import as_col, exact_quantiles, pick_nearest, to_long, value_counts_scan
+from ..schema import ACTION_MAXIMA, ACTION_SUMS, INTERACTION_COUNTS, SIGNALS, SUMMARY_FIELDS
+from ..session import max_group_rows
 
 
 def aggregate_actions(actions: DataFrame, hands: DataFrame) -> DataFrame:
@@ -33,8 +32,17 @@ def aggregate_actions(actions: DataFrame, hands: DataFrame) -> DataFrame:
     )
 
 
-def baselines(df: DataFrame, keys: list[str], cols: list[str], prefix: str = "base_") -> DataFrame:
-    """Group means joined back to the rows."""
+def baselines(df: DataFrame, keys: list[str], cols: list[str], prefix: str = "base_",
+              largest: int | None = None, limit=None) -> DataFrame:
+    """Group means beside the rows.
+
+    With a known bound `largest` on the group size within the limit, one window does it;
+    otherwise the means are aggregated and joined back, which no single group can stall.
+    """
+    limit = limit or max_group_rows(df.sparkSession)
+    if largest is not None and largest <= limit:
+        w = W.partitionBy(*keys)
+        return df.withColumns({f"{prefix}{c}": F.avg(c).over(w) for c in cols})
     means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"{prefix}{c}") for c in cols])
     return df.join(means, keys, "left")
 
@@ -163,42 +171,45 @@ def pair_features(pair_hands: DataFrame, pairs: DataFrame, players: DataFrame, l
 def interaction_counts(context: DataFrame, membership: DataFrame) -> DataFrame:
     """Per (pair, hand): heads-up actions of the two, and answers to their aggression.
 
-    Answers are first counted per (hand, aggressor, responder), so a pair joins a few counts
-    instead of every event.
+    Everything is counted per hand first: once per player (own actions, and answers the
+    player's aggression got from anyone) and once per pair of players (answers between
+    them). A pair then joins three small counts instead of its events.
     """
     c = F.col
     a = F.lower(c("action"))
     aggressive = F.coalesce(c("is_aggressive"), F.lit(False))
+    two_left = c("players_active") == 2
+    answer = (c("to_call") > 0) & c("last_aggressor").isNotNull() & (c("last_aggressor") != c("player_id"))
+    one = lambda cond: F.when(cond, 1).otherwise(0)
+    own = {
+        "hu_actions": two_left, "hu_checks": two_left & (a == "check"), "hu_calls": two_left & (a == "call"),
+        "hu_aggression": two_left & aggressive,
+    }
     kinds = {
-        "folds": F.count_if(a == "fold"),
-        "calls": F.count_if((a == "call") | ((a == "all_in") & ~aggressive)),
-        "raises": F.count_if(aggressive),
+        "folds": answer & (a == "fold"), "calls": answer & ((a == "call") | ((a == "all_in") & ~aggressive)),
+        "raises": answer & aggressive,
     }
-    own = context.groupBy("hand_id", "player_id").agg(
-        F.count_if(c("players_active") == 2).alias("hu_actions"),
-        F.count_if((c("players_active") == 2) & (a == "check")).alias("hu_checks"),
-        F.count_if((c("players_active") == 2) & (a == "call")).alias("hu_calls"),
-        F.count_if((c("players_active") == 2) & aggressive).alias("hu_aggression"),
+    rows = context.select(
+        "hand_id", "player_id", F.when(answer, c("last_aggressor")).alias("aggressor"),
+        *[one(v).alias(k) for k, v in own.items()], *[one(v).alias(k) for k, v in kinds.items()],
     )
-    answers = (
-        context.where((c("to_call") > 0) & c("last_aggressor").isNotNull() & (c("last_aggressor") != c("player_id")))
-        .groupBy("hand_id", F.col("last_aggressor").alias("aggressor"), F.col("player_id").alias("responder"))
-        .agg(*[v.alias(k) for k, v in kinds.items()])
+    # Each event counts once for its actor and, when it answers aggression, once for the aggressor.
+    zero = lambda names: [F.lit(0).alias(n) for n in names]
+    roles = F.inline(F.array(
+        F.struct(c("player_id").alias("who"), *[c(k).alias(k) for k in own], *zero(kinds)),
+        F.struct(c("aggressor").alias("who"), *zero(own), *[c(k).alias(k) for k in kinds]),
+    ))
+    per = rows.select("hand_id", roles).where(c("who").isNotNull()).groupBy("hand_id", "who").agg(
+        *[F.sum(k).alias(k) for k in [*own, *kinds]]
     )
-    received = answers.groupBy("hand_id", "aggressor").agg(*[F.sum(k).alias(f"all_{k}") for k in kinds])
-    out = membership.select("pair_id", "hand_id", "player_1", "player_2")
-    for i, j in ((1, 2), (2, 1)):
-        mine = own.select("hand_id", c("player_id").alias(f"player_{i}"),
-                          *[c(x).alias(f"{x}_{i}") for x in ("hu_actions", "hu_checks", "hu_calls", "hu_aggression")])
-        got = received.select("hand_id", c("aggressor").alias(f"player_{i}"),
-                              *[c(f"all_{k}").alias(f"all_{k}_{i}") for k in kinds])
-        partner = answers.select("hand_id", c("aggressor").alias(f"player_{i}"), c("responder").alias(f"player_{j}"),
-                                 *[c(k).alias(f"partner_{k}_{i}") for k in kinds])
-        out = (
-            out.join(mine, ["hand_id", f"player_{i}"], "left").join(got, ["hand_id", f"player_{i}"], "left")
-            .join(partner, ["hand_id", "player_1", "player_2"], "left")
-        )
-    out = out.na.fill(0)
+    between = rows.where(c("aggressor").isNotNull()).groupBy(
+        "hand_id", F.least("aggressor", "player_id").alias("low"), F.greatest("aggressor", "player_id").alias("high")
+    ).agg(*[F.sum(k).alias(f"partner_{k}") for k in kinds])
+    out = orient(membership.select("pair_id", "hand_id", "player_1", "player_2"), "player_1", "player_2")
+    for i in (1, 2):
+        side = per.select("hand_id", c("who").alias(f"player_{i}"), *[c(k).alias(f"{k}_{i}") for k in [*own, *kinds]])
+        out = out.join(side, ["hand_id", f"player_{i}"], "left")
+    out = out.join(between, ["hand_id", "low", "high"], "left").na.fill(0)
     # Two players are left and both belong to the pair: both act heads-up in the hand.
     both = (c("hu_actions_1") > 0) & (c("hu_actions_2") > 0)
     hu = lambda expr: F.when(both, expr).otherwise(0)
@@ -212,8 +223,8 @@ def interaction_counts(context: DataFrame, membership: DataFrame) -> DataFrame:
         hu(pair("hu_aggression")).alias("true_hu_aggression"),
         hu(passive(1)).alias("p1_hu_passive"),
         hu(passive(2)).alias("p2_hu_passive"),
-        *[pair(f"partner_{k}").alias(f"partner_{k}_to_pair") for k in kinds],
-        *[(pair(f"all_{k}") - pair(f"partner_{k}")).alias(f"outsider_{k}_to_pair") for k in kinds],
+        *[c(f"partner_{k}").alias(f"partner_{k}_to_pair") for k in kinds],
+        *[(pair(k) - c(f"partner_{k}")).alias(f"outsider_{k}_to_pair") for k in kinds],
     )
 
 

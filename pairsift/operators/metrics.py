@@ -7,11 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.scalars import md5_order
 from ..functions.slots import clean_slots
 from ..scale import exact_quantiles, ordered_scan, pick_linear, same_keys_join, to_long
 from ..schema import EVIDENCE_SLOTS, FAMILIES
-from .quality import multi_valued, require_empty
+from .quality import require_empty
 from .rank import score_threshold
 from .windows import top_k
 
@@ -114,16 +113,9 @@ def map_at_k(df: DataFrame, pair: str, label: str, score: str, key: str, k: int
     return ap_at_k(df, pair, label, score, key, k).agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias("map_at_k"))
 
 
-def expected_tie_ap(df: DataFrame, pair: str, label: str, score: str, k: int = 5, name: str = "query_ap5") -> DataFrame:
-    """Expected AP@k per pair when rows with equal scores come in random order.
-
-    Only the first k tie blocks can reach rank k, and blocks are counted before the shuffle.
-    """
-    blocks = df.groupBy(pair, score).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("r")
-    )
-    totals = blocks.groupBy(pair).agg(F.sum("r").alias("relevant"))
-    first = top_k(blocks, [pair], [F.col(score).desc()], k, "block")
+def _tie_ap(blocks: DataFrame, totals: DataFrame, pair: str, score: str, k: int, name: str) -> DataFrame:
+    """`totals` (pair, relevant, ...) with the expected AP@k of its tie blocks (pair, score, n, r)."""
+    first = top_k(blocks.select(pair, score, "n", "r"), [pair], [F.col(score).desc()], k, "block")
     before = W.partitionBy(pair).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     placed = first.select(
         pair, "n", "r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("p"),
@@ -137,20 +129,38 @@ def expected_tie_ap(df: DataFrame, pair: str, label: str, score: str, k: int = 5
     )
     sums = placed.groupBy(pair).agg(F.sum(gain).alias("gain"))
     value = F.coalesce(F.try_divide(F.col("gain"), F.least(F.col("relevant"), F.lit(k)).cast("double")), F.lit(0.0))
-    return totals.join(sums, pair).select(pair, value.alias(name))
+    return totals.join(sums, pair).select(*[c for c in totals.columns if c != "relevant"], value.alias(name))
+
+
+def expected_tie_ap(df: DataFrame, pair: str, label: str, score: str, k: int = 5, name: str = "query_ap5") -> DataFrame:
+    """Expected AP@k per pair when rows with equal scores come in random order.
+
+    Only the first k tie blocks can reach rank k, and blocks are counted before the shuffle.
+    """
+    blocks = df.groupBy(pair, score).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("r")
+    )
+    return _tie_ap(blocks, blocks.groupBy(pair).agg(F.sum("r").alias("relevant")), pair, score, k, name)
 
 
 def query_ap(df: DataFrame, score: str, pair: str = "pair_id", pool: str = "table_id", fold: str = "outer_fold",
-             label: str = "is_evidence", k: int = 5, check: bool = True) -> DataFrame:
-    """Tie-aware AP per pair with its pool, fold and counts."""
-    meta = df.groupBy(pair).agg(
-        F.min(pool).alias(pool), F.min(fold).alias(fold),
-        F.count(F.lit(1)).alias("candidate_hands"), F.sum(F.col(label).cast("int")).alias("evidence_hands"),
+             label: str = "is_evidence", k: int = 5, check: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Tie-aware AP per pair with its pool, fold and counts; `keep` are further pair attributes."""
+    keep = [pool, fold, *(keep or [])]
+    blocks = df.groupBy(pair, score).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("r"),
+        *[F.min(c).alias(c) for c in keep], F.max(pool).alias("__pool"),
+    )
+    meta = blocks.groupBy(pair).agg(
+        *[F.min(c).alias(c) for c in keep], F.sum("n").alias("candidate_hands"), F.sum("r").alias("evidence_hands"),
+        F.sum("r").alias("relevant"), F.max("__pool").alias("__pool"),
     )
     if check:
-        require_empty(multi_valued(df, [pair], pool), "a pair lies in several pools")
-        require_empty(meta.where(F.col("evidence_hands") == 0), "a pair has no evidence")
-    return meta.join(expected_tie_ap(df, pair, label, score, k), pair)
+        require_empty(
+            meta.where((F.col(pool) != F.col("__pool")) | (F.col("evidence_hands") == 0)),
+            "a pair lies in several pools, or has no evidence",
+        )
+    return _tie_ap(blocks, meta.drop("__pool"), pair, score, k, "query_ap5")
 
 
 def _harmonic_gap(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.game import card_strength, orient, pair_key, pair_measures, pair_signals
-from ..scale import large_groups, numbered, ordered_scan
+from ..scale import large_groups, largest_group, numbered, ordered_scan
 from ..schema import ACTION_MEASURES, BASELINE_MEASURES, FAMILIES, PAIR_MEASURES, SAME_COLUMNS, SIGNALS
 from .agg import baselines
 from .quality import duplicate_keys, require_empty
@@ -32,7 +32,9 @@ def player_hands(seats: DataFrame, hands: DataFrame, action_features: DataFrame,
         "pot_bb": num("final_pot") / blind,
         "hole_strength": card_strength("hole_card_1", "hole_card_2"),
     })
-    return baselines(wide, ["phase", "player_id"], BASELINE_MEASURES)
+    # A player's seats bound the size of a (phase, player) group.
+    largest = largest_group(seats, ["player_id"])
+    return baselines(wide, ["phase", "player_id"], BASELINE_MEASURES, largest=largest, limit=limit)
 
 
 def _requested(pairs: DataFrame) -> DataFrame:
