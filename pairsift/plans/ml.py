@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import forbidden_columns, interact, interacted_names, ranked_columns
@@ -58,9 +58,11 @@ def with_features(df: DataFrame, cols: list[str]) -> DataFrame:
     bad = forbidden_columns(cols)
     if bad:
         raise ValueError(f"columns that must not be features: {bad}")
-    clean = [f"__x{i}" for i in range(len(cols))]
-    wide = finite0(df.withColumns({n: F.col(c) for n, c in zip(clean, cols)}), clean)
-    return VectorAssembler(inputCols=clean, outputCol="features").transform(wide).drop(*clean)
+    # One lambda over an array keeps the generated code small however many columns there are.
+    values = F.array(*[F.col(c).cast("double") for c in cols])
+    clean = F.transform(values, lambda x: F.coalesce(
+        F.when(~(F.isnan(x) | (F.abs(x) == F.lit(float("inf")))), x), F.lit(0.0)))
+    return df.withColumn("features", array_to_vector(clean))
 
 
 def score(model, df: DataFrame, name: str) -> DataFrame:
@@ -343,7 +345,7 @@ def evidence_ranker(dev: DataFrame, evaluation: DataFrame, cols: list[str], pool
     names = [*cols, *[f"{x}__pair_pct" for x in ranked]]
     enrich = lambda d: finite0(pct_rank_avg(d, [pair], ranked, "__pair_pct"), names)
     dev = pin(enrich(dev))
-    target = enrich(evaluation)
+    target = pin(enrich(evaluation))
     oof, scored = [], []
     for k in classes:
         rows = dev.where(F.col(family) == k)
