@@ -115,14 +115,17 @@ def map_at_k(df: DataFrame, pair: str, label: str, score: str, key: str, k: int
 
 def _tie_ap(blocks: DataFrame, totals: DataFrame, pair: str, score: str, k: int, name: str) -> DataFrame:
     """`totals` (pair, relevant, ...) with the expected AP@k of its tie blocks (pair, score, n, r)."""
-    first = top_k(blocks.select(pair, score, "n", "r"), [pair], [F.col(score).desc()], k, "block")
-    before = W.partitionBy(pair).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    first = top_k(
+        blocks.select(pair, score, F.col("n").alias("__n"), F.col("r").alias("__r")), [pair],
+        [F.col(score).desc()], k, "__block",
+    )
+    before = W.partitionBy(pair).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
     placed = first.select(
-        pair, "n", "r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("p"),
-        F.coalesce(F.sum("r").over(before), F.lit(0)).alias("q"),
-    ).where(F.col("p") < k)
-    n, r, p, q = (F.col(c).cast("double") for c in ("n", "r", "p", "q"))
-    seats = F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k) - F.col("p")).cast("int"))
+        pair, "__n", "__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__p"),
+        F.coalesce(F.sum("__r").over(before), F.lit(0)).alias("__q"),
+    ).where(F.col("__p") < k)
+    n, r, p, q = (F.col(c).cast("double") for c in ("__n", "__r", "__p", "__q"))
+    seats = F.sequence(F.lit(1), F.least(F.col("__n"), F.lit(k) - F.col("__p")).cast("int"))
     gain = F.aggregate(
         seats, F.lit(0.0),
         lambda acc, j: acc + (r / n) * (q + 1.0 + (j - 1) * (r - 1.0) / F.greatest(n - 1.0, F.lit(1.0))) / (p + j),

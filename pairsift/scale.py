@@ -202,13 +202,15 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear quantiles per group; columns `{col}{suffix}` for each `suffix: p` in probs."""
     limit = limit or max_group_rows(df.sparkSession)
-    names = [(c, s, p) for c in cols for s, p in probs.items()]
     small, large = split_large(df, keys, limit, largest)
 
     def builtin(frame):
-        return frame.groupBy(*keys).agg(
-            *[F.percentile(F.col(c), F.lit(p)).alias(f"{c}{s}") for c, s, p in names]
-        )
+        # One value map per column serves all its quantiles.
+        asked = F.array(*[F.lit(p) for p in probs.values()])
+        packed = frame.groupBy(*keys).agg(*[F.percentile(F.col(c), asked).alias(c) for c in cols])
+        return packed.select(*keys, *[
+            F.col(c)[i].alias(f"{c}{s}") for c in cols for i, s in enumerate(probs)
+        ])
 
     if large is None:
         return builtin(df)
