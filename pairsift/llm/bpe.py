@@ -93,6 +93,17 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def runs_of(texts: list[str]) -> list[list[str]]:
+    """Each text cut at the blanks that stand between two characters that are no white space.
+
+    The GPT-2 kind of split pattern always starts a piece at such a blank, so runs can be
+    encoded apart: the first as it is, the others with the blank before them.
+    """
+    cut = [t.split(" ") for t in texts]
+    odd = {r for r in set().union(*cut) if not r or r[0].isspace() or r[-1].isspace()}
+    return [p if odd.isdisjoint(p) else _RUN.split(t) for p, t in zip(cut, texts)] if odd else cut
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> dict[bytes, int]:
     """Ranks of a `.tiktoken` file, which every worker can read."""
@@ -214,14 +225,9 @@ class Codec:
             self.known[run] = b"".join([got[p] for p in parts])
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. A blank between two characters that are no white space always
-        starts a piece, so the runs between such blanks are encoded apart, equal runs once."""
-        cut = [t.split(" ") for t in texts]
-        runs = set().union(*cut)
-        odd = {r for r in runs if not r or r[0].isspace() or r[-1].isspace()}
-        if odd:
-            cut = [p if odd.isdisjoint(p) else _RUN.split(t) for p, t in zip(cut, texts)]
-            runs = set().union(*cut)
+        """Ids of each text; equal runs are encoded once."""
+        cut = runs_of(texts)
+        runs = set().union(*[p[1:] for p in cut])
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         self._learn(runs - self.known.keys())

@@ -217,3 +217,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.col("n") == 0).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs`, all columns, with one document of each group: that with the smallest doc_id.
+
+    Documents without words are no duplicates and stay. Rows that repeat a kept doc_id
+    and its text stay together with it; in a group without any doc_id all rows stay.
+    """
+    found = near_duplicates(docs, k, percent, doc_id, text)
+    gone = found.where("NOT kept AND component_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[doc_id].cast(gone.schema["__gone"].dataType).eqNullSafe(gone["__gone"]), "left_anti")

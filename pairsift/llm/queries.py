@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, embedjoin, langid, minhash
-from .common import held_out
+from . import bpe, decontam, embedjoin, htmlcut, langid, merkle, minhash, quality, tokenfile
+from .common import held_out, stage_path, staged
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+LIBRARY_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +31,42 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = stage_path(spark, "tokens")
+    tokenfile.write(_table(spark, folder, "documents"), path, LIBRARY_FILE, end_id=2)
+    return tokenfile.checksums(spark, path)
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    labels = _table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    stats = staged(quality.add_statistics(docs).drop("text"), "statistics")
+    model = quality.fit(stats.where(~held_out()).join(labels, "doc_id"))
+    return quality.score(stats, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return htmlcut.extract(_table(spark, folder, "pages"))
+
+
+def op4_warc_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """Audit of a replica whose bytes changed: by md5 of the page_id, 3 of 256 pages each have
+    their first byte replaced, lose their last two bytes, or are emptied. `start` counts from
+    the first record of the first archive file."""
+    first = merkle.archive(_table(spark, folder, "pages"))
+    kind = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
+    text = F.col("record")
+    harmed = (
+        F.when(kind.isin("00", "01", "02"), F.concat(F.lit("X"), F.substring(text, 2, 2**31 - 1)))
+        .when(kind.isin("03", "04", "05"), F.expr("substring(record, 1, char_length(record) - 2)"))
+        .when(kind.isin("06", "07", "08"), F.lit(""))
+        .otherwise(text)
+    )
+    second = staged(first.withColumn("record", harmed), "replica")
+    found = merkle.audit(first, second).where("status != 'moved'").join(merkle.file_starts(first), "file")
+    return found.select("page_id", "status", (F.col("start") + F.col("base")).alias("start"), "length", "hash_a", "hash_b")
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -43,6 +80,28 @@ def op10_embedding_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op3_language_id, op5_decontamination, op8_minhash, op10_embedding_join)
+    f.__name__: f for f in (
+        op1_byte_bpe, op2_token_files, op3_language_id, op4_warc_fixity, op5_decontamination, op6_quality, op7_html_main_text, op8_minhash,
+        op10_embedding_join,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc_fixity": """
+WITH made AS (
+  SELECT page_id, substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS kind,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+    || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+    || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+    || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages),
+placed AS (
+  SELECT *, CAST(strlen(record) AS BIGINT) AS length,
+    CAST(sum(strlen(record)) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - strlen(record) AS start,
+    CASE WHEN kind IN ('00', '01', '02') THEN 'X' || substr(record, 2)
+         WHEN kind IN ('03', '04', '05') THEN substr(record, 1, length(record) - 2)
+         WHEN kind IN ('06', '07', '08') THEN '' ELSE record END AS other
+  FROM made)
+SELECT page_id, 'changed' AS status, CAST(start AS BIGINT) AS start, length, sha256(record) AS hash_a, sha256(other) AS hash_b
+FROM placed WHERE record <> other
+""",
 }
-ORACLE_SQL: dict[str, str] = {}
