@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, embedjoin, htmlcut, langid, merkle, minhash, quality, tokenfile
+from . import bpe, decontam, embedjoin, htmlcut, langid, lines, merkle, minhash, quality, tokenfile
 from .common import held_out, stage_path, staged
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -75,6 +75,12 @@ def op8_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"), k=2, percent=80)
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    clean = lines.deduplicate(docs, removed="n_removed")
+    return clean.select("doc_id", "text", "n_removed")
+
+
 def op10_embedding_join(spark: SparkSession, folder: str) -> DataFrame:
     return embedjoin.range_join(_table(spark, folder, "embeddings"), 0.9)
 
@@ -82,10 +88,39 @@ def op10_embedding_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_byte_bpe, op2_token_files, op3_language_id, op4_warc_fixity, op5_decontamination, op6_quality, op7_html_main_text, op8_minhash,
-        op10_embedding_join,
+        op9_line_dedup, op10_embedding_join,
     )
 }
 ORACLE_SQL: dict[str, str] = {
+    # All pairs of line sets that share one of their rarest fifth of tokens, rare by (count, token).
+    "op9_line_dedup": """
+WITH lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS l FROM documents),
+words AS (
+  SELECT DISTINCT doc_id, l, unnest(string_split_regex(lower(line), '[\\x20\\x09-\\x0D]+')) AS w FROM lines),
+toks AS (SELECT * FROM words WHERE w <> ''),
+sets AS (SELECT doc_id, l, list(w ORDER BY w) AS ws, count(*) AS n FROM toks GROUP BY doc_id, l),
+classes AS MATERIALIZED (SELECT ws, n, min({'d': doc_id, 'l': l}) AS place FROM sets GROUP BY ws, n),
+spread AS (SELECT place, n, unnest(ws) AS w FROM classes),
+freq AS (SELECT w, count(*) AS c FROM spread GROUP BY w),
+prefix AS MATERIALIZED (
+  SELECT place, n, w FROM spread JOIN freq USING (w)
+  QUALIFY row_number() OVER (PARTITION BY place ORDER BY c, w) <= n // 5 + 1),
+pairs AS (
+  SELECT DISTINCT a.place AS pa, b.place AS pb FROM prefix a JOIN prefix b ON a.w = b.w AND a.place < b.place
+  WHERE 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+gone AS (
+  SELECT DISTINCT pb AS place FROM pairs JOIN classes a ON a.place = pa JOIN classes b ON b.place = pb
+  WHERE 9 * len(list_intersect(a.ws, b.ws)) >= 4 * (a.n + b.n)),
+kept AS (
+  SELECT lines.doc_id, lines.l, lines.line FROM lines LEFT JOIN sets s ON s.doc_id = lines.doc_id AND s.l = lines.l
+  LEFT JOIN classes c ON c.ws = s.ws LEFT JOIN gone g ON g.place = c.place
+  WHERE s.n IS NULL OR (g.place IS NULL AND c.place = {'d': s.doc_id, 'l': s.l})),
+joined AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY l) AS text, count(*) AS m FROM kept GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(j.text, '') END AS text,
+  CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) - coalesce(j.m, 0) END AS BIGINT) AS n_removed
+FROM documents d LEFT JOIN joined j ON j.doc_id = d.doc_id
+""",
     "op4_warc_fixity": """
 WITH made AS (
   SELECT page_id, substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS kind,
