@@ -14,11 +14,17 @@ from ..session import ensure_checkpoint_dir
 
 #: Rows worked on at once; bounds the memory beside the Arrow batch itself.
 ROWS = 512
+#: Most rows of an Arrow batch.
+BATCH = 1024
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is not installed on them."""
+    """Let Python workers import this package when it is not installed on them, and bound
+    the rows that Spark packs into one Arrow batch, since a row may hold a long text."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH:
+        spark.conf.set(key, str(BATCH))
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, env.get("PYTHONPATH")]))
