@@ -13,8 +13,8 @@ Blank lines resemble nothing and stay.
    floor(n / 5) + 1 and floor(m / 5) + 1 (prefix filter); sizes differ by a fifth at most
    (length filter); after their first common token enough tokens must be left (positional
    filter); and a 64-bit parity sketch bounds the difference of the sets from below.
-4. Crowds: each class first meets the earliest class for each of its last prefix tokens,
-   which settles most members of a large group. Only classes still unsettled then look for
+4. Crowds: each class first meets one class for each of its last prefix tokens, the same
+   for a whole crowd, which settles most members of a large group. Only classes still unsettled then look for
    an earlier match among all classes.
 5. Candidates are verified on their full token sets, read again from the text.
 
@@ -26,20 +26,23 @@ are; a text that loses all lines becomes empty. Further columns pass unchanged.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
 from .common import staged
 
 BUCKETS = 1 << 16
-#: Prefix tokens, the commonest ones, whose earliest class settles crowds.
+#: Parts of a crowd, each with its own first class.
+SHARES = 8
+#: Prefix tokens, the commonest ones, whose first class settles crowds.
 LEADERS = 3
 #: Bits of the filters that spare lines a shuffle; fixed, and followed by an exact join.
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 22
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _NO_ID = -(1 << 63)
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), _SPACE), "")
 
 
 def _bucket(token: Column) -> Column:
@@ -64,12 +67,11 @@ def token_ranks(docs: DataFrame) -> DataFrame:
 def _codes(line: Column, ranks: Column) -> Column:
     """Sorted codes of a line's distinct tokens, rare ones first."""
 
-    def code(word: Column) -> Column:
-        h = F.xxhash64(word)
-        rank = F.get(ranks, _bucket(h).cast("int"))
-        return F.shiftleft(rank, 48).bitwiseOR(h.bitwiseAND((1 << 48) - 1))
+    def code(h: Column) -> Column:
+        return F.shiftleft(F.get(ranks, _bucket(h).cast("int")), 48).bitwiseOR(h.bitwiseAND((1 << 48) - 1))
 
-    return F.sort_array(F.array_distinct(F.transform(_words(line), code)))
+    # Hashes first, codes from them: a lambda would hash a word at every mention.
+    return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), code))
 
 
 def _bit(number: Column) -> Column:
@@ -120,11 +122,9 @@ def line_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _index(classes: DataFrame, tokens: Column) -> DataFrame:
-    """tok, d, l, meta (n, place in the prefix, open), parity: a row per class and token."""
-    meta = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).bitwiseOR(F.col("open").cast("long"))
-    return classes.select("d", "l", "n", "open", "parity", F.explode(tokens).alias("t")).select(
-        F.col("t.tok").alias("tok"), "d", "l", F.col("t.i").alias("i"), "n", "open", "parity"
-    ).select("tok", "d", "l", meta.alias("meta"), "parity")
+    """tok, cid, meta (n, place in the prefix, open), parity: a row per class and token."""
+    meta = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("t.i").cast("long"), 1)).bitwiseOR(F.col("open").cast("long"))
+    return classes.select("cid", "n", "open", "parity", F.explode(tokens).alias("t")).select(F.col("t.tok").alias("tok"), "cid", meta.alias("meta"), "parity")
 
 
 def _numbered(prefix: str) -> Column:
@@ -132,40 +132,43 @@ def _numbered(prefix: str) -> Column:
 
 
 def _near(x: str, y: str) -> Column:
-    """The length, positional and parity filters for index rows of two classes; y is open."""
-    n = {s: F.shiftright(f"{s}.meta", 32) for s in (x, y)}
-    left = {s: n[s] - F.shiftright(f"{s}.meta", 1).bitwiseAND((1 << 31) - 1) for s in (x, y)}
+    """The length, positional and parity filters for index rows of two classes, one of them open."""
+    meta = {s: F.col(f"{s}meta") for s in (x, y)}
+    n = {s: F.shiftright(meta[s], 32) for s in (x, y)}
+    left = {s: n[s] - F.shiftright(meta[s], 1).bitwiseAND((1 << 31) - 1) for s in (x, y)}
     total = n[x] + n[y]
     return (
         (5 * F.least(n[x], n[y]) >= 4 * F.greatest(n[x], n[y]))
         & (9 * F.least(left[x], left[y]) >= 4 * total)
-        & (9 * F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity"))) <= total)
-        & (n[x] * F.col(f"{y}.meta").bitwiseAND(1) > 0)
+        & (9 * F.bit_count(F.col(f"{x}parity").bitwiseXOR(F.col(f"{y}parity"))) <= total)
+        & (meta[x].bitwiseOR(meta[y]).bitwiseAND(1) == 1)
     )
 
 
-def _earlier(x: str, y: str) -> Column:
-    return (F.col(f"{x}.d") < F.col(f"{y}.d")) | ((F.col(f"{x}.d") == F.col(f"{y}.d")) & (F.col(f"{x}.l") < F.col(f"{y}.l")))
-
-
-_PAIR = ["x.d AS dx", "x.l AS lx", "y.d AS dy", "y.l AS ly"]
+def _placed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of class numbers as places (dx, lx) before (dy, ly), where the later class is open."""
+    side = lambda s: classes.select(F.col("cid").alias(s), F.struct("d", "l", "open").alias(f"p{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y"))
+    return both.where("y.open = 1").selectExpr("x.d AS dx", "x.l AS lx", "y.d AS dy", "y.l AS ly")
 
 
 def _crowd_pairs(classes: DataFrame) -> DataFrame:
-    """Each class with the earliest class for each of its last prefix tokens."""
+    """Each class with the first class, by number, for each of its last prefix tokens, of
+    those in the same one of SHARES parts; so no token keeps a crowd in one task."""
     last = F.slice(_numbered("prefix"), F.greatest(F.size("prefix") - (LEADERS - 1), F.lit(1)), LEADERS)
-    rows = _index(classes, last)
-    first = rows.groupBy("tok").agg(F.min("d").alias("d"), F.count(F.lit(1)).alias("c")).where("c > 1").select("tok", "d")
-    leaders = rows.join(first, ["tok", "d"]).groupBy("tok").agg(F.min(F.struct("d", "l", "meta", "parity")).alias("x")).select("tok", "x.*")
-    x, y = leaders.alias("x"), rows.alias("y")
-    return x.join(y, (F.col("x.tok") == F.col("y.tok")) & _earlier("x", "y") & _near("x", "y")).selectExpr(*_PAIR).distinct()
+    rows = _index(classes, last).withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(SHARES)))
+    ordered = W.partitionBy("tok", "part").orderBy("cid")
+    led = rows.select("*", *[F.first(c).over(ordered).alias(f"x{c}") for c in ("cid", "meta", "parity")])
+    named = led.select("xcid", "xmeta", "xparity", F.col("cid").alias("ycid"), F.col("meta").alias("ymeta"), F.col("parity").alias("yparity"))
+    return _placed(named.where(F.col("xcid") != F.col("ycid")).where(_near("x", "y")).selectExpr("xcid AS a", "ycid AS b").distinct(), classes)
 
 
 def _all_pairs(classes: DataFrame) -> DataFrame:
     """Open classes with every earlier class that the filters leave."""
     rows = _index(classes, _numbered("prefix"))
-    x, y = rows.alias("x"), rows.alias("y")
-    return x.join(y, (F.col("x.tok") == F.col("y.tok")) & _earlier("x", "y") & _near("x", "y")).selectExpr(*_PAIR).distinct()
+    x, y = (rows.select("tok", *[F.col(c).alias(f"{s}{c}") for c in ("cid", "meta", "parity")]) for s in "xy")
+    met = x.join(y, "tok").where((F.col("xcid") < F.col("ycid")) & _near("x", "y"))
+    return _placed(met.selectExpr("xcid AS a", "ycid AS b").distinct(), classes)
 
 
 def _verified(docs: DataFrame, ranks: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -187,7 +190,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     classes = staged(
         lines.groupBy("k1", "k2").agg(
             F.min(F.struct("d", "l")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")
-        ).select("k1", "k2", "first.d", "first.l", "n", "parity", "prefix"), "classes",
+        ).select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "first.d", "first.l", "n", "parity", "prefix"), "classes",
     )
     at_first = classes.withColumn("open", F.lit(1))
     settled = staged(_verified(docs, ranks, staged(_crowd_pairs(at_first), "crowd")), "settled")
