@@ -6,8 +6,9 @@ for that bin. Bins form bands, and equal bands put documents in one bucket.
 
 Documents with the same set collapse into one class first. Per class, one star edge to the
 smallest class of its buckets is verified on full sets, and the verified edges' components
-are found. Only buckets that still hold several components are compared further: across
-components, within the size bound, and where 256 one-bit samples of the bins leave 0.8
+are found. In two further rounds, classes meet a few members of another component in their
+buckets, so that a large group merges at a cost in proportion to its size. Buckets that
+then still hold several components are compared in full: across components, within the size bound, and where 256 one-bit samples of the bins leave 0.8
 possible. Every surviving pair is verified on full sets, so a pair that shares a bucket is
 either verified or already connected. A pair at similarity 0.8 shares no bucket with
 probability (1 - 0.8^6)^64 = 4e-9.
@@ -23,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.window import Window as W
 
 from .common import arrow_columns, components, list_array, staged
 from .words import mix, shingles, word_hashes
@@ -30,8 +32,11 @@ from .words import mix, shingles, word_hashes
 BANDS, BAND_ROWS = 64, 6
 BINS = BANDS * BAND_ROWS
 SKETCH_BITS = 256
-#: Unequal sampled bits allowed: 26 are expected at similarity 0.8, with deviation 5.
-SKETCH_LIMIT = 72
+#: Unequal sampled bits allowed: 26 are expected at similarity 0.8, and over 60 have
+#: probability 4e-9, as little as sharing no bucket.
+SKETCH_LIMIT = 60
+#: Rounds in which a class meets at most TRIES members of another component.
+ROUNDS, TRIES = 2, 4
 #: Slots of the class filter; a fixed size, whatever the data.
 SLOTS = 1 << 20
 _KEY = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -163,21 +168,40 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return checked.where("same").select("a", "b")
 
 
-def _mixed_pairs(members: DataFrame, labels: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a bucket, lie in different components and may reach `percent`."""
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, cid, n, s0..s3, root, low) of buckets that hold several components; `low` is the smallest."""
     named = members.join(labels, "cid")
-    mixed = (
-        named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    )
-    rows = named.join(mixed, "key")
-    left = rows.select("key", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), *[F.col(f"s{i}").alias(f"a{i}") for i in range(4)])
-    right = rows.select("key", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), *[F.col(f"s{i}").alias(f"b{i}") for i in range(4)])
+    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key", "low")
+    return named.join(several, "key")
+
+
+def _may_reach(percent: int):
+    """Size bound and sampled bits of classes a and b."""
     unequal = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(4))
-    near = (
-        (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-        & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (unequal <= SKETCH_LIMIT)
-    )
-    return left.join(right, near).select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (unequal <= SKETCH_LIMIT), unequal
+
+
+def _side(rows: DataFrame, s: str) -> DataFrame:
+    return rows.select("key", F.col("cid").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}"), *[F.col(f"s{i}").alias(f"{s}{i}") for i in range(4)])
+
+
+def _spread_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """Classes with a few members of their buckets' smallest component, drawn by hash anew in
+    each bucket; the most alike are taken. At most TRIES pairs a class, so a crowd merges."""
+    drawn = F.min_by(F.struct("cid", "root", "n", "s0", "s1", "s2", "s3"), F.xxhash64("cid", "key")).alias("x")
+    low = _side(mixed.where("root = low").groupBy("key").agg(drawn).select("key", "x.*"), "a")
+    near, unequal = _may_reach(percent)
+    met = low.join(_side(mixed.where("root != low"), "b"), "key").where(near).select("a", "b", unequal.alias("u")).distinct()
+    # A class has at most one row per band here.
+    best = F.row_number().over(W.partitionBy("b").orderBy("u", "a"))
+    return met.withColumn("rank", best).where(F.col("rank") <= TRIES).select("a", "b")
+
+
+def _mixed_pairs(mixed: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that share a bucket, lie in different components and may reach `percent`."""
+    near, _ = _may_reach(percent)
+    met = _side(mixed, "a").join(_side(mixed, "b"), "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
+    return met.select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,12 +224,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         buckets.where("cid != leader").groupBy("cid").agg(F.min("leader").alias("a")).select("a", F.col("cid").alias("b")), "star"
     )
     links = staged(verified(star, sets, percent), "links")
-    roots = components(links).toDF("cid", "found")
-    labels = known.join(roots, "cid", "left").select("cid", F.coalesce("found", "cid").alias("root"))
     bits = one.select(F.col("rid").alias("cid"), "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(4)])
-    members = buckets.select("key", "cid").join(staged(known.join(bits, "cid").join(labels, "cid"), "members"), "cid")
-    more = verified(_mixed_pairs(members.drop("root"), labels, star, percent), sets, percent)
-    links = staged(links.union(more), "links")
+    members = buckets.select("key", "cid").join(staged(known.join(bits, "cid"), "members"), "cid")
+    for last in [False] * ROUNDS + [True]:
+        roots = components(links).toDF("cid", "found")
+        labels = known.join(roots, "cid", "left").select("cid", F.coalesce("found", "cid").alias("root"))
+        mixed = staged(_mixed(members, labels), "mixed")
+        tried = _mixed_pairs(mixed, star, percent) if last else _spread_pairs(mixed, percent)
+        links = staged(links.union(verified(tried, sets, percent)), "links")
 
     roots = components(links).toDF("cid", "root")
     named = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
