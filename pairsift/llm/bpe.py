@@ -24,7 +24,7 @@ from .common import arrow_columns, list_array
 
 _NONE = 1 << 62
 #: Runs remembered per worker; the store is emptied when full.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Pieces of up to so many bytes are merged in step, one tree a row; longer ones one by one.
 TOGETHER = 64
 #: Trees that are worked on in step; few enough to stay in a CPU's cache.
@@ -282,43 +282,27 @@ def decode(df: DataFrame, ids: str, path: str, pattern: str, out: str = "decoded
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Ids and decoded bytes of every document: doc_id, ids, decoded. Other columns are dropped."""
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return decode(encode(docs, "text", path, pattern), "ids", path, pattern).drop("text")
-
+    """Ids and the bytes they decode to, of every document: doc_id, ids, decoded. Other columns are dropped.
 
-def digests(coded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of a `round_trip`, hashed in the workers."""
-    import hashlib
+    `decode` of `encode` in one pass, so that a task keeps one Python worker.
+    """
 
     def run(batch: pa.RecordBatch) -> list:
-        lists, decoded = batch.column(0), batch.column(1)
-        flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        words = decimal_text(flat)
-        ids = [hashlib.sha256(b",".join(words[a:b])).hexdigest() for a, b in zip(offsets, offsets[1:])]
-        return [
-            pa.array(np.diff(offsets).astype(np.int64)),
-            pa.array(ids, pa.string()),
-            pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in decoded], pa.string()),
-        ]
-
-    out = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return arrow_columns(coded, ["ids", "decoded"], out, run).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
-
-
-def decimal_text(ids: np.ndarray) -> list[bytes]:
-    """Decimal digits of each id; the distinct ids are written once."""
-    if not len(ids):
-        return []
-    names = _decimals(int(ids.max()) + 1)
-    return names[ids].tolist()
-
+        c = codec(path, pattern)
+        parts = c.encode_batch([t or "" for t in batch.column(0).to_pylist()])
+        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+        ids = list_array(np.concatenate(parts) if parts else np.empty(0, np.int32), offsets, pa.int32())
+        return [ids, pa.array([c.decode(p) for p in parts], pa.binary())]
 
-_names = np.empty(0, object)
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    out = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+    return arrow_columns(docs, ["text"], out, run).drop("text")
 
 
-def _decimals(size: int) -> np.ndarray:
-    global _names
-    if len(_names) < size:
-        _names = np.array([b"%d" % i for i in range(size)], object)
-    return _names
+def digests(coded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of a `round_trip`."""
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

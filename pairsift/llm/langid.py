@@ -31,7 +31,7 @@ ORDER = 3
 SAMPLE = 400
 LANGUAGES = 64
 #: Contexts kept over all languages, the most frequent first.
-NODES = 24_000
+NODES = 16_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -94,7 +94,7 @@ class Trees:
             best = np.argsort(-seen, kind="stable")[: max(0, nodes - total)]
             number.append({int(k): total + i for i, k in enumerate(key[np.sort(best)])})
             total += len(best)
-        self.table = np.zeros((256, 256, 256), np.int32)
+        self.table = np.zeros((256, 256, 256), np.uint16 if total < 1 << 16 else np.int32)
         for k, node in number[1].items():
             self.table[:, :, k] = node
         for k, node in number[2].items():
