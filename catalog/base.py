@@ -138,8 +138,8 @@ class Tables:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        """Supplier pairs that share at least two orders."""
-        met = P.met_pairs(self.seats, min_shared=2)
+        """Supplier pairs that share an order."""
+        met = P.met_pairs(self.seats)
         return met.select(
             F.concat_ws("-", "low", "high").alias("pair_id"), F.col("low").alias("player_1"),
             F.col("high").alias("player_2"), "shared_hands",
@@ -266,7 +266,7 @@ CTE: dict[str, tuple[str, str]] = {
         SELECT a.player_id || '-' || b.player_id AS pair_id, a.player_id AS player_1, b.player_id AS player_2,
             count(*) AS shared_hands
         FROM seats a JOIN seats b ON a.hand_id = b.hand_id AND a.player_id < b.player_id
-        GROUP BY a.player_id, b.player_id HAVING count(*) >= 2"""),
+        GROUP BY a.player_id, b.player_id """),
     "known_pairs": ("pairs players", """
         SELECT q.* FROM pairs q JOIN players a ON a.player_id = q.player_1 JOIN players b ON b.player_id = q.player_2 AND a.pool = b.pool"""),
     "line_actions": ("", """
@@ -375,7 +375,7 @@ def sql(needs: str, body: str, r: str = "", digits: int = 6) -> str:
         visit(name)
     with_ = ", ".join(f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({CTE[n][1]})" for n in order)
     if r:
-        rounds = ", ".join(f"round({c}, {digits}) + 0e0 AS {c}" for c in r.split())
+        rounds = ", ".join(f"round(round({c}, {max(9, digits)}), {digits}) + 0e0 AS {c}" for c in r.split())
         body = f"SELECT * REPLACE ({rounds}) FROM ({body})"
     if with_ and body.lstrip().startswith("WITH"):
         body = f"SELECT * FROM ({body})"
@@ -383,9 +383,12 @@ def sql(needs: str, body: str, r: str = "", digits: int = 6) -> str:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column, so that summation order does not show."""
+    """Round every double column, so that summation order does not show.
+
+    To nine digits first: engines differ in how they round a sum just below a half.
+    """
     return df.select(*[
-        (F.round(F.col(f"`{n}`"), digits) + F.lit(0.0)).alias(n) if k == "double" else F.col(f"`{n}`")
+        (F.round(F.round(F.col(f"`{n}`"), max(9, digits)), digits) + F.lit(0.0)).alias(n) if k == "double" else F.col(f"`{n}`")
         for n, k in df.dtypes
     ])
 

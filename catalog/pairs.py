@@ -47,7 +47,7 @@ def co_membership(t):
 
 @register("j04_met_pairs", sql("pairs", "SELECT player_1, player_2, shared_hands FROM pairs"))
 def met_pairs(t):
-    return P.met_pairs(t.seats, min_shared=2).select(
+    return P.met_pairs(t.seats).select(
         F.col("low").alias("player_1"), F.col("high").alias("player_2"), "shared_hands")
 
 
@@ -69,14 +69,14 @@ def pair_hands(t):
 
 @register("j07_pool_pairs", sql("pairs players", """
     WITH tables AS (SELECT player_id, CAST(floor(player_id / 30) AS BIGINT) AS pool FROM players)
-    SELECT 'PU' || lpad(CAST(row_number() OVER (ORDER BY a.pool, a.player_id, b.player_id) - 1 AS VARCHAR), 7, '0') AS pair_id,
+    SELECT 'PU' || printf('%07d', row_number() OVER (ORDER BY a.pool, a.player_id, b.player_id) - 1) AS pair_id,
         a.player_id AS player_1, b.player_id AS player_2, a.pool, coalesce(shared_hands, 0) AS shared_hands
     FROM tables a JOIN tables b ON a.pool = b.pool AND a.player_id < b.player_id
     LEFT JOIN pairs q ON q.player_1 = a.player_id AND q.player_2 = b.player_id"""))
 def pool_pairs(t):
     """Closed tables of 30 players each, whatever the number of players."""
     seated = t.players.select("player_id", F.floor(F.col("player_id") / 30).alias("pool"))
-    return P.pool_pairs(seated, "pool", P.met_pairs(t.seats, min_shared=2))
+    return P.pool_pairs(seated, "pool", P.met_pairs(t.seats), max_members=30)
 
 
 @register("j08_unlabelled_pairs", sql("known_pairs", """

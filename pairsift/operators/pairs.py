@@ -203,7 +203,7 @@ def met_pairs(seats: DataFrame, pool: str | None = None, min_shared: int = 1, gr
     return counts.select("low", "high", "shared_hands", *part)
 
 
-def pool_pairs(members: DataFrame, pool: str, shared: DataFrame | None = None, max_members: int = 64,
+def pool_pairs(members: DataFrame, pool: str, shared: DataFrame | None = None, *, max_members: int,
                member: str = "player_id", prefix: str = "PU", limit=None) -> DataFrame:
     """All member pairs of each pool, a synthetic id, and the shared-group count (0 when none).
 
@@ -220,7 +220,7 @@ def pool_pairs(members: DataFrame, pool: str, shared: DataFrame | None = None, m
     right = seen.select(pool, F.col(member).alias("player_2"))
     out = left.join(right, pool).where(F.col("player_1") < F.col("player_2"))
     out = numbered(out, [F.col(pool), F.col("player_1"), F.col("player_2")], name="__n", limit=limit)
-    out = out.withColumn("pair_id", F.concat(F.lit(prefix), F.lpad((F.col("__n") - 1).cast("string"), 7, "0")))
+    out = out.withColumn("pair_id", F.concat(F.lit(prefix), F.format_string("%07d", F.col("__n") - 1)))
     if shared is None:
         return out.drop("__n")
     counts = shared.select(

@@ -40,12 +40,18 @@ def with_folds(df: DataFrame, folds: DataFrame, keys: list[str]) -> DataFrame:
 
 def extend_folds(folds: DataFrame, labelled: DataFrame, unlabelled: DataFrame, pool: str, k: int,
                  fold: str = "fold", limit=None) -> DataFrame:
-    """Folds for pools without labels, dealt to the smaller folds first."""
-    sizes = labelled.join(folds, pool).groupBy(fold).agg(F.count(F.lit(1)).alias("n"))
+    """Folds for pools without labels: the larger pools first, to the smaller folds first.
+
+    Folds are 0 to k - 1; those without a labelled row take part as the smallest, so every
+    pool gets a fold.
+    """
+    every = folds.sparkSession.range(k).select(F.col("id").cast(folds.schema[fold].dataType).alias(fold))
+    counted = labelled.join(folds, pool).groupBy(fold).agg(F.count(F.lit(1)).alias("n"))
+    sizes = every.join(counted, fold, "left").na.fill(0, ["n"])
     order = numbered(sizes, [F.col("n"), F.col(fold)], limit=limit).select(
         (F.col("rn") - 1).cast("int").alias("slot"), fold)
-    fresh = unlabelled.select(pool).distinct().join(folds, pool, "left_anti")
-    dealt = numbered(fresh, [F.col(pool)], limit=limit).select(pool, _serpentine("rn", k).alias("slot"))
+    fresh = unlabelled.groupBy(pool).agg(F.count(F.lit(1)).alias("n")).join(folds, pool, "left_anti")
+    dealt = numbered(fresh, [F.col("n").desc(), F.col(pool)], limit=limit).select(pool, _serpentine("rn", k).alias("slot"))
     added = dealt.join(order, "slot").select(pool, fold)
     return folds.select(pool, fold).unionByName(added)
 

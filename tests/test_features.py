@@ -106,6 +106,6 @@ def test_influence_and_impact(spark):
 
 def test_pool_pairs_bound(spark):
     members = spark.createDataFrame([("t", f"p{i}") for i in range(5)], "pool string, player_id string")
-    assert P.pool_pairs(members, "pool").count() == 10
+    assert P.pool_pairs(members, "pool", max_members=5).count() == 10
     with pytest.raises(Q.QualityError):
         P.pool_pairs(members, "pool", max_members=4)

@@ -165,3 +165,14 @@ def test_gate_needs_every_metric(spark):
     found = spark.createDataFrame([("ap_delta", 0.1)], "metric string, value double")
     got = {r["metric"]: r["passed"] for r in M.evaluate_gate(found, [("ap_delta", ">=", 0.0), ("lost", ">", 0.0)]).collect()}
     assert got == {"ap_delta": 1, "lost": 0, "overall": 0}
+
+
+def test_extend_folds_keeps_every_pool(spark):
+    """Fewer labelled pools than folds: fresh pools fill the folds without labels too."""
+    from pairsift.operators import resample as R
+
+    labelled = spark.createDataFrame([(i % 2, i) for i in range(9)], "pool long, x long")
+    fresh = spark.createDataFrame([(p, i) for p in range(12) for i in range(p + 1)], "pool long, x long")
+    folds = R.group_kfold(labelled, "pool", 5)
+    got = {r.pool: r.fold for r in R.extend_folds(folds, labelled, fresh, "pool", 5).collect()}
+    assert set(got) == set(range(12)) and set(got.values()) == set(range(5))
