@@ -29,7 +29,7 @@ class Raw(dict):
 
 
 class Tables:
-    """Role tables derived from one data folder; everything is lazy."""
+    """Role tables derived from one data folder, built when first asked for; some write stages."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
