@@ -8,8 +8,10 @@ Documents with the same set collapse into one class first. Per class, one star e
 smallest class of its buckets is verified on full sets, and the verified edges' components
 are found. In two further rounds, classes meet a few members of another component in their
 buckets, so that a large group merges at a cost in proportion to its size. Buckets that
-then still hold several components are compared in full: across components, within the size bound, and where 256 one-bit samples of the bins leave 0.8
-possible. Every surviving pair is verified on full sets, so a pair that shares a bucket is
+then still hold several components are compared in full: across components, within the
+size bound, where 256 one-bit samples of the bins leave 0.8 possible, and where the parity
+sketch does. That sketch counts the set's hashes modulo two in 512 slots; two sets differ
+in at least as many shingles as their sketches in bits, so it never loses a link. Every surviving pair is verified on full sets, so a pair that shares a bucket is
 either verified or already connected. A pair at similarity 0.8 shares no bucket with
 probability (1 - 0.8^6)^64 = 4e-9.
 
@@ -35,6 +37,10 @@ SKETCH_BITS = 256
 #: Unequal sampled bits allowed: 26 are expected at similarity 0.8, and over 60 have
 #: probability 4e-9, as little as sharing no bucket.
 SKETCH_LIMIT = 60
+#: Slots of the parity sketch, as many longs of 64.
+PARITY_BITS = 512
+#: Longs of both sketches together: 4 of samples, then 8 of parities.
+LONGS = (SKETCH_BITS + PARITY_BITS) // 64
 #: Rounds in which a class meets at most TRIES members of another component.
 ROUNDS, TRIES = 2, 4
 #: Slots of the class filter; a fixed size, whatever the data.
@@ -77,6 +83,12 @@ def sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits((values[:SKETCH_BITS] >> np.uint64(17)).astype(np.uint8) & 1).view(np.int64)
 
 
+def parity(items: np.ndarray) -> np.ndarray:
+    """How many hashes fall into each slot, modulo two, as eight longs."""
+    slots = ((items >> np.uint64(7)) % np.uint64(PARITY_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def fingerprint(items: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a whole set."""
     low = mix(items ^ np.uint64(0xA5A5A5A5A5A5A5A5))
@@ -94,7 +106,7 @@ def _long(name: str) -> T.StructField:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, text -> doc_id, n, hi, lo, bands (array of long), sketch (4 longs)."""
+    """doc_id, text -> doc_id, n, hi, lo, bands (array of long), sketch (LONGS longs)."""
 
     def run(batch: pa.RecordBatch) -> list:
         n, hi, lo, keys, bits, sizes = [], [], [], [], [], [0]
@@ -105,7 +117,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 values = signature(items)
                 a, b = fingerprint(items)
                 keys.append(bands(values))
-                bits.append(sketch(values))
+                bits += [sketch(values), parity(items)]
             else:
                 a = b = 0
             hi.append(a), lo.append(b), sizes.append(bool(len(items)))
@@ -113,7 +125,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
         flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, bits)]
         return [
             pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
-            list_array(flat[0], offsets * BANDS, pa.int64()), list_array(flat[1], offsets * 4, pa.int64()),
+            list_array(flat[0], offsets * BANDS, pa.int64()), list_array(flat[1], offsets * LONGS, pa.int64()),
         ]
 
     longs = T.ArrayType(T.LongType())
@@ -169,26 +181,30 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (key, cid, n, s0..s3, root, low) of buckets that hold several components; `low` is the smallest."""
+    """Rows (key, cid, n, s0.., root, low) of buckets that hold several components; `low` is the smallest."""
     named = members.join(labels, "cid")
     several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key", "low")
     return named.join(several, "key")
 
 
 def _may_reach(percent: int):
-    """Size bound and sampled bits of classes a and b."""
-    unequal = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(4))
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (unequal <= SKETCH_LIMIT), unequal
+    """Size bound, parities and sampled bits of classes a and b; and how many samples differ."""
+    differ = [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(LONGS)]
+    samples = SKETCH_BITS // 64
+    unequal, apart = sum(differ[:samples]), sum(differ[samples:])
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    # Similarity s leaves a difference of (1 - s) / (1 + s) of both sizes.
+    return sizes & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))) & (unequal <= SKETCH_LIMIT), unequal
 
 
 def _side(rows: DataFrame, s: str) -> DataFrame:
-    return rows.select("key", F.col("cid").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}"), *[F.col(f"s{i}").alias(f"{s}{i}") for i in range(4)])
+    return rows.select("key", F.col("cid").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}"), *[F.col(f"s{i}").alias(f"{s}{i}") for i in range(LONGS)])
 
 
 def _spread_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     """Classes with a few members of their buckets' smallest component, drawn by hash anew in
     each bucket; the most alike are taken. At most TRIES pairs a class, so a crowd merges."""
-    drawn = F.min_by(F.struct("cid", "root", "n", "s0", "s1", "s2", "s3"), F.xxhash64("cid", "key")).alias("x")
+    drawn = F.min_by(F.struct("cid", "root", "n", *[f"s{i}" for i in range(LONGS)]), F.xxhash64("cid", "key")).alias("x")
     low = _side(mixed.where("root = low").groupBy("key").agg(drawn).select("key", "x.*"), "a")
     near, unequal = _may_reach(percent)
     met = low.join(_side(mixed.where("root != low"), "b"), "key").where(near).select("a", "b", unequal.alias("u")).distinct()
@@ -224,7 +240,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
         buckets.where("cid != leader").groupBy("cid").agg(F.min("leader").alias("a")).select("a", F.col("cid").alias("b")), "star"
     )
     links = staged(verified(star, sets, percent), "links")
-    bits = one.select(F.col("rid").alias("cid"), "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(4)])
+    bits = one.select(F.col("rid").alias("cid"), "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(LONGS)])
     members = buckets.select("key", "cid").join(staged(known.join(bits, "cid"), "members"), "cid")
     for last in [False] * ROUNDS + [True]:
         roots = components(links).toDF("cid", "found")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from pairsift.llm import minhash
@@ -44,6 +45,31 @@ def test_leader_that_fails(spark):
     check(got, docs, 2)
 
 
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 300, 5000):
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for change in (0, 1, n // 9, n):
+            y = np.unique(np.concatenate([x[change:], rng.integers(0, 2**64, change, dtype=np.uint64)]))
+            bits = np.bitwise_count((minhash.parity(x) ^ minhash.parity(y)).view(np.uint64)).sum()
+            assert bits <= len(np.setxor1d(x, y))
+
+
+def test_crowd_with_outsiders(spark):
+    """A large group of near copies, and copies just too far from most of it."""
+    rng = random.Random(6)
+    base = [f"w{i % 150}" for i in range(200)]
+    docs = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(4 if i % 3 else 16):
+            words[rng.randrange(200)] = f"w{rng.randrange(150)}"
+        docs.append((i, " ".join(words)))
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2, 80).collect()
+    check(got, docs, 2)
+    assert 1 < len({r.component_id for r in got}) < 160
+
+
 def test_odd_rows(spark):
     got = minhash.near_duplicates(odd_documents(spark), 2, 80).collect()
     assert len(got) == 11
