@@ -37,12 +37,21 @@ SHARES = 8
 LEADERS = 3
 #: Bits of the filters that spare lines a shuffle; fixed, and followed by an exact join.
 FILTER_BITS = 1 << 22
-_SPACE = "[\\x20\\x09-\\x0D]+"
+_SPACES = "\t\n\x0b\x0c\r"
 _NO_ID = -(1 << 63)
 
 
+def _pieces(text: Column) -> Column:
+    """Lower-cased words, and an empty one between two blanks. A plain blank needs no
+    regular expression, which would be compiled for every line."""
+    text = F.lower(text)
+    for space in _SPACES:
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.split(text, " ")
+
+
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), _SPACE), "")
+    return F.array_remove(_pieces(text), "")
 
 
 def _bucket(token: Column) -> Column:
@@ -51,7 +60,7 @@ def _bucket(token: Column) -> Column:
 
 def token_ranks(docs: DataFrame) -> DataFrame:
     """One row, one array: the rank by count of every hash bucket, from -32768."""
-    words = docs.select(F.explode(F.split(F.lower("text"), _SPACE)).alias("w")).where("w != ''")
+    words = docs.select(F.explode(_pieces(F.col("text"))).alias("w")).where("w != ''")
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).count()
     every = docs.sparkSession.range(BUCKETS).toDF("bucket").join(counts, "bucket", "left").select(
         "bucket", F.coalesce("count", F.lit(0)).alias("n")
@@ -111,7 +120,9 @@ def _maybe(bits: Column) -> Column:
 def line_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every line with tokens (d, l, k1, k2, n, parity, prefix), and the rank table."""
     ranks = token_ranks(docs)
-    made = _coded(_places(docs), ranks).where(F.size("codes") > 0)
+    # Not a filter on the codes: pushed below them, it would compute every line's codes twice.
+    written = F.btrim("line", F.lit(" " + _SPACES)) != ""
+    made = _coded(_places(docs).where(written), ranks)
     n = F.size("codes")
     lines = made.select(
         "d", "l", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), n.alias("n"),
