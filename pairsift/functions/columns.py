@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..scale import as_col
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "decimal")
+# Identifier columns of the input tables.
 IDENTIFIERS = ("label", "pair_id", "player_1", "player_2", "table_id")
 EVIDENCE_IDENTIFIERS = (
     "pair_id", "hand_id", "player_1", "player_2", "table_id", "table_id_1", "table_id_2", "target",

@@ -118,6 +118,7 @@ def attach_sides(membership: DataFrame, measures: DataFrame, cols: list[str],
     return out
 
 
+# Column names of the pair table.
 SIDE_COLUMNS = [
     "table_id", "phase_progress", "pot_bb", "stack_bb", "contribution_bb", "net_bb", "folded",
     "went_to_showdown", "won_share", "hole_strength", *ACTION_MEASURES,
