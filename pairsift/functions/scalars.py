@@ -12,7 +12,7 @@ from ..scale import as_col
 
 def num0(c) -> Column:
     """Number, or 0 when missing or not a number."""
-    return F.coalesce(as_col(c).cast("string").try_cast("double"), F.lit(0.0))
+    return F.coalesce(as_col(c).try_cast("double"), F.lit(0.0))
 
 
 def finite(c) -> Column:
