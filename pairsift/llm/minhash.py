@@ -9,11 +9,13 @@ smallest class of its buckets is verified on full sets, and the verified edges'
 are found. In two further rounds, classes meet a few members of another component in their
 buckets, so that a large group merges at a cost in proportion to its size. Buckets that
 then still hold several components are compared in full: across components, within the
-size bound, where 256 one-bit samples of the bins leave 0.8 possible, and where the parity
-sketch does. That sketch counts the set's hashes modulo two in 512 slots; two sets differ
-in at least as many shingles as their sketches in bits, so it never loses a link. Every surviving pair is verified on full sets, so a pair that shares a bucket is
-either verified or already connected. A pair at similarity 0.8 shares no bucket with
-probability (1 - 0.8^6)^64 = 4e-9.
+size bound, and where the parity sketch leaves 0.8 possible. That sketch counts the set's
+hashes modulo two in 512 slots; two sets differ in at least as many shingles as their
+sketches in bits, so it never loses a link. 256 one-bit samples of the bins only rank the
+members that a class meets first; in small sets the densified bins repeat a few values, so
+their number of unequal bits excludes nothing. Every surviving pair is verified on full
+sets, so a pair that shares a bucket is either verified or already connected. With many
+shingles, a pair at similarity 0.8 shares no bucket with probability (1 - 0.8^6)^64 = 4e-9.
 
 Null, empty and blank texts have the empty set and link with nothing. Rows that repeat a
 doc_id count as rows; a null doc_id never is the smallest. Other columns are ignored.
@@ -34,9 +36,6 @@ from .words import mix, shingles, word_hashes
 BANDS, BAND_ROWS = 64, 6
 BINS = BANDS * BAND_ROWS
 SKETCH_BITS = 256
-#: Unequal sampled bits allowed: 26 are expected at similarity 0.8, and over 60 have
-#: probability 4e-9, as little as sharing no bucket.
-SKETCH_LIMIT = 60
 #: Slots of the parity sketch, as many longs of 64.
 PARITY_BITS = 512
 #: Longs of both sketches together: 4 of samples, then 8 of parities.
@@ -188,13 +187,13 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _may_reach(percent: int):
-    """Size bound, parities and sampled bits of classes a and b; and how many samples differ."""
+    """Size bound and parities of classes a and b, which lose no link; and how many samples differ."""
     differ = [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(LONGS)]
     samples = SKETCH_BITS // 64
     unequal, apart = sum(differ[:samples]), sum(differ[samples:])
     sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     # Similarity s leaves a difference of (1 - s) / (1 + s) of both sizes.
-    return sizes & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))) & (unequal <= SKETCH_LIMIT), unequal
+    return sizes & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))), unequal
 
 
 def _side(rows: DataFrame, s: str) -> DataFrame:

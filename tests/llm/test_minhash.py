@@ -70,6 +70,22 @@ def test_crowd_with_outsiders(spark):
     assert 1 < len({r.component_id for r in got}) < 160
 
 
+def test_small_sets_under_a_foreign_leader(spark):
+    """Similar pairs of 4-10 shingles whose bucket leader is near neither; their samples differ a lot."""
+    known = [  # 61 to 69 of 256 samples differ between the first 5 and all 6 words
+        "w323818 w279037 w713166 w991556 w498989 w873485", "w966279 w612313 w259485 w715581 w399395 w321209",
+        "w845257 w58223 w680379 w273011 w822955 w92362", "w933102 w29643 w595664 w781282 w695701 w463969",
+    ]
+    rng = random.Random(8)
+    words = [x.split() for x in known]
+    words += [[f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(6, 12))] for _ in range(60)]
+    docs = []
+    for w in words:
+        docs += [(len(docs) + i, " ".join(w[:n])) for i, n in enumerate((3 * len(w) // 4, len(w) - 1, len(w)))]
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), 2, 80).collect()
+    check(got, docs, 2)
+
+
 def test_odd_rows(spark):
     got = minhash.near_duplicates(odd_documents(spark), 2, 80).collect()
     assert len(got) == 11
