@@ -1,14 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Texts are runs of words, lower-cased in A-Z. A benchmark item is cut into windows of SPAN
-words, one every STRIDE words and one at its end; an item of fewer words is one window of
-its own length, and items of fewer than LEAST words are left out, as they say nothing. A
+words, one at every word; an item of fewer words is one window of its own length. A
 document matches a window where, at one place, all but a fifth of the words agree
-(at least SPAN - SPARE of SPAN words).
+(at least SPAN - SPARE of SPAN words; all of fewer than five).
 
 Fixed masks ignore some positions and hash the others. The positions fall into four
 classes, and each mask ignores two of them, so any two substitutions leave one mask
-untouched: no match with up to SPARE = 2 substitutions is missed. Hashes of documents that
+untouched: no match with up to SPARE = 2 substitutions is missed. Windows of fewer than
+five words allow none and have one mask that hashes all. Hashes of documents that
 pass a fixed-size filter of the benchmark's hashes are joined with them, and the words
 around each hit are compared.
 
@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import arrow_columns, ship, staged
 from .words import mix, word_hashes
 
-SPAN, STRIDE, SPARE, LEAST = 12, 4, 2, 8
+#: Windows start at every STRIDE = 1 words, and items of LEAST = 1 words count.
+SPAN, STRIDE, SPARE, LEAST = 12, 1, 2, 1
 #: Slots of the hash filter; a fixed size, whatever the benchmark's.
-SLOTS = 1 << 22
+SLOTS = 1 << 24
 _GROUPS = 4
 _WEIGHT = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, SPAN, dtype=np.uint64) | np.uint64(1)
 
@@ -44,8 +45,9 @@ def masks(span: int) -> list[np.ndarray]:
 def seeds(words: np.ndarray, span: int) -> np.ndarray:
     """Hash of every mask (rows) at every place (columns) of a text."""
     places = len(words) - span + 1
-    out = np.empty((6, max(0, places)), np.uint64)
-    for m, kept in enumerate(masks(span) if places > 0 else []):
+    kinds = masks(span) if span >= 5 else [np.arange(span)]
+    out = np.empty((len(kinds), max(0, places)), np.uint64)
+    for m, kept in enumerate(kinds if places > 0 else []):
         acc = np.full(places, np.uint64(span * 8 + m), np.uint64)
         for p in kept:
             acc += words[p : p + places] * _WEIGHT[p]
@@ -67,9 +69,8 @@ def _windows(text: str | None) -> list[tuple[int, int, bytes]]:
     if n < LEAST:
         return []
     span = min(SPAN, n)
-    places = sorted({*range(0, n - span + 1, STRIDE), n - span})
     found = seeds(words, span).view(np.int64)
-    return [(int(found[m, p]), span, _cut(words, p, span)) for p in places for m in range(6)]
+    return [(int(found[m, p]), span, _cut(words, p, span)) for p in range(0, n - span + 1, STRIDE) for m in range(len(found))]
 
 
 def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:

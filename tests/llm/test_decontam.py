@@ -38,6 +38,25 @@ def test_masks_miss_no_two_substitutions():
         assert all(any(not m & {a, b} for m in kept) for a in range(span) for b in range(span))
 
 
+def test_every_start_and_short_items(spark):
+    """Passages of an item that start anywhere, with and without a substitution, and copies of short items."""
+    words = [f"w{i}" for i in range(40)]
+    items = [(0, " ".join(words))] + [(n, " ".join(f"s{n}_{i}" for i in range(n))) for n in range(1, 12)]
+    docs = []
+    for at in range(29):
+        for n in (12, 13, 14):
+            docs.append((len(docs), " ".join(words[at : at + n])))
+        inside = words[at : at + 12]
+        inside[at % 12] = "other"
+        docs.append((len(docs), " ".join(["before", *inside, "after"])))
+    for n, t in items[1:]:
+        docs += [(1000 + n, t), (2000 + n, f"before {t} after"), (3000 + n, t.replace(f"s{n}_0", "other"))]
+    got = run(spark, docs, items)
+    assert got == overlaps(docs, items, 12, 1, 2, 1)
+    assert all(got[d] == {0} for d, _ in docs if d < 1000) and all(got[k * 1000 + n] == {n} for n in range(1, 12) for k in (1, 2))
+    assert {n for n in range(1, 12) if 3000 + n in got} == set(range(5, 12))
+
+
 def test_odd_rows(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "the of and to in is that a be it"), (3, "the of and to in is that a be it")], "item_id long, text string")
     docs = odd_documents(spark)
