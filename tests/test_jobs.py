@@ -23,6 +23,15 @@ def test_submission_job(spark, tmp_path):
     assert Q.table_diff(sub, kept).count() == 0  # a finished stage is read, not rebuilt
 
 
+def test_submission_keeps_labelled_pairs_without_hands(spark, tmp_path):
+    t = six_pools(spark)
+    lone = [("lone1", "g0p0", "g1p0", 1, "soft_play", "confirmed_target"), ("lone0", "g2p0", "g3p0", 0, "none", "confirmed_negative")]
+    t["development_labels"] = t["development_labels"].union(spark.createDataFrame(lone, t["development_labels"].schema))
+    out = J.build_submission(spark, t, str(tmp_path / "work"), TREES, 2, 5, ["transfer_any_bb", "net_gap_bb"])
+    found = {r["metric"]: r["value"] for r in out["diagnostics"].collect()}
+    assert found["labelled_pairs"] == 14 and found["positive_pairs"] == 7
+
+
 @pytest.fixture(scope="module")
 def planted(spark):
     """x separates the classes, z the families; pools are folded whole."""
