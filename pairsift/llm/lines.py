@@ -160,7 +160,9 @@ def _placed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of class numbers as places (dx, lx) before (dy, ly), where the later class is open."""
     side = lambda s: classes.select(F.col("cid").alias(s), F.struct("d", "l", "open").alias(f"p{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y"))
-    return both.where("y.open = 1").selectExpr("x.d AS dx", "x.l AS lx", "y.d AS dy", "y.l AS ly")
+    # Classes at one place, of rows that repeat a doc_id, are not earlier than each other.
+    before = "x.d < y.d OR (x.d = y.d AND x.l < y.l)"
+    return both.where(f"y.open = 1 AND ({before})").selectExpr("x.d AS dx", "x.l AS lx", "y.d AS dy", "y.l AS ly")
 
 
 def _crowd_pairs(classes: DataFrame) -> DataFrame:

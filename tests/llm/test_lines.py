@@ -61,6 +61,13 @@ def test_odd_rows(spark):
     assert lines.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_similar_lines_at_one_place(spark):
+    """Neither of two rows of one doc_id comes first; a later line is still removed."""
+    texts = [f"a b c d e f g h i {x}" for x in "jkl"]
+    docs = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[2])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in lines.deduplicate(docs).collect()) == [(1, texts[0]), (1, texts[1]), (2, "")]
+
+
 @pytest.mark.skipif(not have_tables(), reason="no tables")
 @pytest.mark.parametrize("folder", [FOLDER, SMALL])
 def test_query(spark, folder):
