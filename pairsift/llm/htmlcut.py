@@ -9,8 +9,9 @@ total cost; blocks left with the source are content.
 
 Elements that are never main text (scripts, styles, forms, navigation and the like) have a
 terminal edge that no cut severs. Pages without text, null and empty pages give "". Broken
-markup is read as far as it goes: unclosed elements end with the element around them, and a tag
-that the document's end cuts off is text. Rows that repeat a page_id stay
+markup is read as far as it goes: unclosed elements end with the element around them, a head
+at the first element or text that can't stand in it, a list of choices at the next block,
+and a tag that the document's end cuts off is text. Rows that repeat a page_id stay
 rows; other columns are ignored.
 """
 
@@ -27,7 +28,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import arrow_columns
 
 # Elements of the HTML standard by the way they carry text.
-HIDDEN = frozenset("script style template noscript head title svg math iframe object canvas audio video select option textarea datalist".split())
+HIDDEN = frozenset(
+    "script style template noscript head title iframe object canvas audio video select option textarea datalist "
+    "annotation annotation-xml desc metadata defs symbol".split()
+)
+#: Elements that leave an open head open.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Elements that a block ends, and blocks that may stand in them.
+CHOICES, IN_CHOICES = frozenset("select option optgroup datalist".split()), frozenset("hr legend button".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -104,7 +112,24 @@ class Reader(HTMLParser):
     def updatepos(self, i, j):
         return j  # line numbers aren't asked for
 
+    def _end_hidden(self, tag: str) -> None:
+        """Close what is open and can't hold this tag: a head, and choices."""
+        names = [e[0] for e in self.stack]
+        if "template" in names:
+            return
+        inner = [n for n in names if n in HIDDEN]
+        # A noscript keeps its own elements; only body ends a head around it.
+        if "head" in inner and tag not in IN_HEAD and (tag == "body" or inner[-1] in ("head", "title")):
+            self._close(names.index("head"))
+        elif inner[-1] in CHOICES and tag in BLOCKS and tag not in IN_CHOICES:
+            at = len(names)
+            while at and (names[at - 1] in CHOICES or names[at - 1] not in BLOCKS and any(n in CHOICES for n in names[:at])):
+                at -= 1
+            self._close(at)
+
     def handle_starttag(self, tag, attrs):
+        if self.hidden > 0:
+            self._end_hidden(tag)
         if tag in BLOCKS:
             self._flush()
             for ended in range(len(self.stack) - 1, -1, -1):
@@ -113,7 +138,7 @@ class Reader(HTMLParser):
                     self._close(ended)
                 elif name in BLOCKS:
                     break
-        elif tag == "br":
+        elif tag in ("br", "text"):
             self.parts.append(" ")
         if tag in VOID:
             return
@@ -158,6 +183,8 @@ class Reader(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.hidden == 1 and self.stack[-1][0] == "head" and not data.isspace():
+            self._close(len(self.stack) - 1)
         if self.hidden <= 0:
             self.parts.append(data)
             if self.links:

@@ -34,6 +34,23 @@ def test_odd_pages(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>No</title><meta charset=utf-8><body><p>Some text.</body></html>", "Some text."),
+    ("<html><head><title>No</title><style>p{}</style><p>Some text.</p></html>", "Some text."),
+    ("<head><noscript><img src=x>no</noscript><link href=y><body><p>Some text.</p>", "Some text."),
+    ("<head><noscript><img src=x>no<body><p>Some text.</p>", "Some text."),
+    ("<head><title>No</title>Some text.", "Some text."),
+    ("<div><select><option>a<option>b<p>Some text.</p></div>", "Some text."),
+    ("<div><select><option>a<hr><option>b</select><p>Some text.</p></div>", "Some text."),
+    ("<div><option>a<p>Some text.</p></div>", "Some text."),
+    ("<div><svg><path d=x><p>Some text.</p></div>", "Some text."),
+    ("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds.", "So x=1 holds."),
+    ("<p>See <svg><title>No</title><desc>no</desc><text>axis</text><text>value</text></svg> here.", "See axis value here."),
+])
+def test_omitted_end_tags_and_foreign_text(page, text):
+    assert H.main_text(page) == text
+
+
 def test_cut_is_least():
     rng = random.Random(7)
     for _ in range(150):
