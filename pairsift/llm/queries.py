@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontam, embedjoin, htmlcut, langid, lines, merkle, minhash, periodic, quality, tokenfile, turns
+from . import bpe, decontam, embedjoin, hmm, htmlcut, langid, lines, merkle, minhash, periodic, quality, tokenfile, turns
 from .common import held_out, stage_path, staged
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -89,6 +89,12 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return turns.structure(turns.damaged(_table(spark, folder, "conversations")), present="present")
 
 
+def op12_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    found = hmm.language_scores(_table(spark, folder, "documents").select("doc_id", "text"), ~held)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.report(_table(spark, folder, "documents"), plant=True)
 
@@ -96,7 +102,7 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_byte_bpe, op2_token_files, op3_language_id, op4_warc_fixity, op5_decontamination, op6_quality, op7_html_main_text, op8_minhash,
-        op9_line_dedup, op10_embedding_join, op11_conversation_repair, op13_periodic_runs,
+        op9_line_dedup, op10_embedding_join, op11_conversation_repair, op12_hidden_markov, op13_periodic_runs,
     )
 }
 ORACLE_SQL: dict[str, str] = {
