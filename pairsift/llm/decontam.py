@@ -104,20 +104,20 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         keep = np.unpackbits(np.frombuffer(packed.value, np.uint8)).view(bool)
         low = np.uint64(SLOTS - 1)
         for batch in batches:
-            for ident, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for ident, hashed, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = word_hashes((value.as_py() or "").encode("utf-8", "replace"))
                 rows = []
                 for span in spans:
                     found = seeds(words, span)
                     for m, p in zip(*np.nonzero(keep[found & low])):
-                        rows.append((ident, int(p), int(found[m, p].view(np.int64)), span, _cut(words, p, span)))
+                        rows.append((ident, hashed, int(p), int(found[m, p].view(np.int64)), span, _cut(words, p, span)))
                 if rows:
                     columns = zip(*rows)
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "place", "hash", "span", "words"])
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "text_hash", "place", "hash", "span", "words"])
 
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    hits = named.mapInArrow(run, "doc_id long, place long, " + _HIT)
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    hits = named.mapInArrow(run, "doc_id long, text_hash long, place long, " + _HIT)
     # Words are 8 bytes each; the comparison is one hex text against another, word by word.
     def word(column: str, i: int):
         return F.substring(F.col(column), 8 * i + 1, 8)
@@ -126,7 +126,7 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     equal = sum(F.when((F.col("span") > i) & (word("words", i) == word("theirs", i)), 1).otherwise(0) for i in range(SPAN))
     near = joined.withColumn("equal", equal).where(F.col("equal") >= F.col("span") - F.least(F.lit(SPARE), F.floor(F.col("span") / 5)))
     # Several masks find the same overlap.
-    return near.groupBy("doc_id", "place", "span", "theirs").agg(F.max("equal").alias("equal"), F.min("item_id").alias("item_id")).drop("theirs")
+    return near.groupBy("doc_id", "text_hash", "place", "span", "theirs").agg(F.max("equal").alias("equal"), F.min("item_id").alias("item_id")).drop("theirs")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
@@ -139,10 +139,11 @@ def contaminated(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs`, all columns, without contaminated documents. Rows with a null doc_id are kept if clean.
+    """`docs`, all columns, without contaminated documents.
 
-    The documents' ids are compared null-safely, so a contaminated row without an id takes
-    every row without an id with it.
+    Rows are judged by doc_id, compared null-safely, and text: a clean text stays beside a
+    contaminated one of the same id, or of none.
     """
-    found = contaminated(docs, items, doc_id=doc_id, text=text).select(F.col("doc_id").alias("__hit"))
-    return docs.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("__hit")), "left_anti")
+    found = matches(docs, items, doc_id=doc_id, text=text).select(F.col("doc_id").alias("__hit"), F.col("text_hash").alias("__hash")).distinct()
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__hit")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__hash"))
+    return docs.join(found, same, "left_anti")

@@ -18,8 +18,9 @@ Blank lines resemble nothing and stay.
    an earlier match among all classes.
 5. Candidates are verified on their full token sets, read again from the text.
 
-A null doc_id counts as the smallest. Rows that repeat a doc_id have the same places: they
-are not earlier than each other, and lose the same lines. Null and empty texts stay as they
+A null doc_id counts as the smallest. Rows that repeat a doc_id have the same places, which
+are not earlier than each other; they are told apart by a hash of their texts, so each row
+loses its own lines only, and equal rows lose the same. Null and empty texts stay as they
 are; a text that loses all lines becomes empty. Further columns pass unchanged.
 """
 
@@ -89,13 +90,13 @@ def _bit(number: Column) -> Column:
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """d, l, line of every line."""
-    return docs.select("d", F.posexplode(F.split("text", "\n")).alias("l", "line"))
+    """d, t, l, line of every line."""
+    return docs.select("d", "t", F.posexplode(F.split("text", "\n")).alias("l", "line"))
 
 
 def _coded(places: DataFrame, ranks: DataFrame) -> DataFrame:
-    """d, l, codes. The ranks come from a scalar subquery, which is evaluated once."""
-    return places.select("d", "l", "line", ranks.scalar().alias("ranks")).select("d", "l", _codes(F.col("line"), F.col("ranks")).alias("codes"))
+    """d, t, l, codes. The ranks come from a scalar subquery, which is evaluated once."""
+    return places.select("d", "t", "l", "line", ranks.scalar().alias("ranks")).select("d", "t", "l", _codes(F.col("line"), F.col("ranks")).alias("codes"))
 
 
 def _filter_of(keys: DataFrame) -> DataFrame:
@@ -118,14 +119,14 @@ def _maybe(bits: Column) -> Column:
 
 
 def line_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every line with tokens (d, l, k1, k2, n, parity, prefix), and the rank table."""
+    """Every line with tokens (d, t, l, k1, k2, n, parity, prefix), and the rank table."""
     ranks = token_ranks(docs)
     # Not a filter on the codes: pushed below them, it would compute every line's codes twice.
     written = F.btrim("line", F.lit(" " + _SPACES)) != ""
     made = _coded(_places(docs).where(written), ranks)
     n = F.size("codes")
     lines = made.select(
-        "d", "l", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), n.alias("n"),
+        "d", "t", "l", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), n.alias("n"),
         F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(_bit(c))).alias("parity"),
         F.transform(F.slice("codes", 1, (n / 5).cast("int") + 1), lambda c: F.hash(c)).alias("prefix"),
     )
@@ -157,12 +158,13 @@ def _near(x: str, y: str) -> Column:
 
 
 def _placed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of class numbers as places (dx, lx) before (dy, ly), where the later class is open."""
-    side = lambda s: classes.select(F.col("cid").alias(s), F.struct("d", "l", "open").alias(f"p{s}"))
+    """Pairs (a, b) of class numbers as lines (dx, tx, lx) at places before those of
+    (dy, ty, ly), where the later class is open."""
+    side = lambda s: classes.select(F.col("cid").alias(s), F.struct("d", "l", "t", "open").alias(f"p{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y"))
     # Classes at one place, of rows that repeat a doc_id, are not earlier than each other.
     before = "x.d < y.d OR (x.d = y.d AND x.l < y.l)"
-    return both.where(f"y.open = 1 AND ({before})").selectExpr("x.d AS dx", "x.l AS lx", "y.d AS dy", "y.l AS ly")
+    return both.where(f"y.open = 1 AND ({before})").selectExpr("x.d AS dx", "x.t AS tx", "x.l AS lx", "y.d AS dy", "y.t AS ty", "y.l AS ly")
 
 
 def _crowd_pairs(classes: DataFrame) -> DataFrame:
@@ -185,43 +187,47 @@ def _all_pairs(classes: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, ranks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """d, l of the later lines of the pairs whose token sets are similar."""
+    """d, t, l of the later lines of the pairs whose token sets are similar."""
     ends = pairs.select(F.col("dx").alias("d"), F.col("lx").alias("l")).union(pairs.select("dy", "ly")).distinct()
     wanted = _filter_of(ends)
     found = _coded(_places(docs).where(_maybe(wanted.scalar())), ranks)
-    # Rows that repeat a doc_id have several lines at one place; any of them may match.
-    x = found.select(F.col("d").alias("dx"), F.col("l").alias("lx"), F.col("codes").alias("cx"))
-    y = found.select(F.col("d").alias("dy"), F.col("l").alias("ly"), F.col("codes").alias("cy"))
-    both = pairs.join(x, ["dx", "lx"]).join(y, ["dy", "ly"])
+    side = lambda s: found.select(*[F.col(c).alias(f"{c}{s}") for c in ("d", "t", "l")], F.col("codes").alias(f"c{s}"))
+    both = pairs.join(side("x"), ["dx", "tx", "lx"]).join(side("y"), ["dy", "ty", "ly"])
     common = F.size(F.array_intersect("cx", "cy"))
-    return both.where(9 * common >= 4 * (F.size("cx") + F.size("cy"))).select(F.col("dy").alias("d"), F.col("ly").alias("l")).distinct()
+    similar = both.where(9 * common >= 4 * (F.size("cx") + F.size("cy")))
+    return similar.select(F.col("dy").alias("d"), F.col("ty").alias("t"), F.col("ly").alias("l")).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """Places (d, l) of the lines to remove; `docs` has d (long, never null) and text."""
+    """Lines (d, t, l) to remove; `docs` has d (long, never null), t (hash of the text) and text."""
     lines, ranks = line_sets(docs)
     classes = staged(
         lines.groupBy("k1", "k2").agg(
-            F.min(F.struct("d", "l")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")
-        ).select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "first.d", "first.l", "n", "parity", "prefix"), "classes",
+            F.min(F.struct("d", "l", "t")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")
+        ).select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "first.d", "first.t", "first.l", "n", "parity", "prefix"), "classes",
     )
     at_first = classes.withColumn("open", F.lit(1))
     settled = staged(_verified(docs, ranks, staged(_crowd_pairs(at_first), "crowd")), "settled")
     marked = settled.withColumn("gone", F.lit(1))
-    opened = classes.join(marked, ["d", "l"], "left").withColumn("open", F.coalesce(1 - F.col("gone"), F.lit(1))).drop("gone")
+    opened = classes.join(marked, ["d", "t", "l"], "left").withColumn("open", F.coalesce(1 - F.col("gone"), F.lit(1))).drop("gone")
     more = _verified(docs, ranks, staged(_all_pairs(opened), "pairs"))
     gone = settled.union(more)
     # A line goes with its class, or because its class begins earlier.
-    doomed = classes.join(gone, ["d", "l"], "left_semi").select("k1", "k2", F.lit(True).alias("all"))
+    doomed = classes.join(gone, ["d", "t", "l"], "left_semi").select("k1", "k2", F.lit(True).alias("all"))
     owner = classes.select("k1", "k2", F.col("d").alias("fd"), F.col("l").alias("fl")).join(doomed, ["k1", "k2"], "left")
     late = (F.col("d") > F.col("fd")) | ((F.col("d") == F.col("fd")) & (F.col("l") > F.col("fl")))
-    return lines.select("d", "l", "k1", "k2").join(owner, ["k1", "k2"]).where(late | F.col("all").isNotNull()).select("d", "l").distinct()
+    return lines.select("d", "t", "l", "k1", "k2").join(owner, ["k1", "k2"]).where(late | F.col("all").isNotNull()).select("d", "t", "l").distinct()
+
+
+def _row_key(doc_id: str, text: str) -> list[Column]:
+    """d, t: rows equal in both have the same id and text."""
+    return [F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(F.col(f"`{text}`")).alias("t")]
 
 
 def _with_removed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("d"), F.col(text).alias("text")).where("text IS NOT NULL")
+    named = docs.select(*_row_key(doc_id, text), F.col(text).alias("text")).where("text IS NOT NULL")
     gone = staged(removed_lines(named), "removed")
-    return named, staged(gone.groupBy("d").agg(F.sort_array(F.collect_set("l")).alias("gone")), "gone")
+    return named, staged(gone.groupBy("d", "t").agg(F.sort_array(F.collect_set("l")).alias("gone")), "gone")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
@@ -230,14 +236,13 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rem
     `removed` names a column to add: how many lines the text lost.
     """
     _, gone = _with_removed(docs, doc_id, text)
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))
     # Documents that lose nothing pass by the join.
     marks = _filter_of(gone.select("d", F.lit(0).alias("l")))
     columns = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, columns)], key.alias("d"), F.lit(0).alias("l"))
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, columns)], *_row_key(doc_id, text), F.lit(0).alias("l"))
     maybe = _maybe(marks.scalar())
     body = columns[docs.columns.index(text)]
-    hit = plain.where(maybe).join(gone, "d", "left")
+    hit = plain.where(maybe).join(gone, ["d", "t"], "left")
     kept = F.filter(F.split(body, "\n"), lambda line, i: ~F.array_contains(F.col("gone"), i))
     cut = hit.withColumn(body, F.when(F.col("gone").isNull(), F.col(body)).otherwise(F.array_join(kept, "\n")))
     lost = F.when(F.col(body).isNotNull(), F.coalesce(F.size("gone"), F.lit(0))).otherwise(F.lit(0))

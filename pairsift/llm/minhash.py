@@ -221,7 +221,12 @@ def _mixed_pairs(mixed: DataFrame, done: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept; one row per document."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return _row_components(docs, k, percent, doc_id, text).drop("text_hash")
+
+
+def _row_components(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """near_duplicates() with `text_hash`, which tells rows of one doc_id apart."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     rows = staged(signatures(docs, k).withColumn("rid", F.monotonically_increasing_id()), "signatures")
     full = rows.where("n > 0")
     classes = staged(
@@ -252,20 +257,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     named = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     owner = named.join(lowest, "root").select("hi", "lo", "component_id")
-    out = rows.select("doc_id", "n", "hi", "lo").join(owner, ["hi", "lo"], "left")
+    out = rows.select("doc_id", "text_hash", "n", "hi", "lo").join(owner, ["hi", "lo"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.col("n") == 0).alias("kept"),
+        F.coalesce(F.col("doc_id") == component, F.col("n") == 0).alias("kept"), "text_hash",
     )
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs`, all columns, with one document of each group: that with the smallest doc_id.
 
-    Documents without words are no duplicates and stay. Rows that repeat a kept doc_id
-    and its text stay together with it; in a group without any doc_id all rows stay.
+    Documents without words are no duplicates and stay. Rows are judged by doc_id and text:
+    those that repeat a kept doc_id stay beside it, a row that repeats a removed one's id
+    with a text of its own stays, and in a group without any doc_id all rows stay.
     """
-    found = near_duplicates(docs, k, percent, doc_id, text)
-    gone = found.where("NOT kept AND component_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast(gone.schema["__gone"].dataType).eqNullSafe(gone["__gone"]), "left_anti")
+    found = _row_components(docs, k, percent, doc_id, text)
+    gone = found.where("NOT kept AND component_id IS NOT NULL").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    same = F.col(f"`{doc_id}`").cast(gone.schema["__gone"].dataType).eqNullSafe(F.col("__gone")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__hash"))
+    return docs.join(gone, same, "left_anti")

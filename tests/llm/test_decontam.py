@@ -68,6 +68,14 @@ def test_odd_rows(spark):
     assert D.decontaminate(docs, items.limit(0)).count() == docs.count()
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    a = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, a), (5, a), (5, "no item has these words in it"), (None, a), (None, "nor is there any item like this one")]
+    items = spark.createDataFrame([(3, a)], "item_id long, text string")
+    left = D.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted((rows[2], rows[4]), key=str)
+
+
 @pytest.mark.skipif(not have_tables(), reason="no tables")
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]

@@ -61,6 +61,18 @@ def test_odd_rows(spark):
     assert lines.deduplicate(docs.limit(0)).count() == 0
 
 
+REPEATED = [(1, "alpha beta gamma delta eps"), (5, "alpha beta gamma delta eps"), (5, "wholly other words stand here"),
+            (None, "alpha beta gamma delta eps"), (None, "nothing like the others at all")]
+
+
+def test_rows_of_one_id_keep_their_own_lines(spark):
+    docs = spark.createDataFrame(REPEATED, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in lines.deduplicate(docs).collect()), key=str)
+    # A row without an id comes first.
+    gone = {1, 5}
+    assert got == sorted(((d, "" if d in gone and t.startswith("alpha") else t) for d, t in REPEATED), key=str)
+
+
 def test_similar_lines_at_one_place(spark):
     """Neither of two rows of one doc_id comes first; a later line is still removed."""
     texts = [f"a b c d e f g h i {x}" for x in "jkl"]

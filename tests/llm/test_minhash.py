@@ -100,6 +100,13 @@ def test_odd_rows(spark):
     assert empty.columns == ["doc_id", "n_shingles", "component_id", "kept"] and empty.count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    a = "one two three four five six seven eight nine ten"
+    rows = [(1, a), (5, a), (5, "no other row has these words in it"), (None, a), (None, "nor is there any row like this one")]
+    left = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted((rows[0], rows[2], rows[4]), key=str)
+
+
 @pytest.mark.skipif(not have_tables(), reason="no tables")
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]

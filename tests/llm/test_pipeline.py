@@ -39,3 +39,16 @@ def test_stages(spark, tmp_path):
     for r in last:
         ids = codec.encode(want[r.doc_id]).tolist()
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(want[r.doc_id].encode()))
+
+
+def test_repeated_and_missing_ids(spark, tmp_path):
+    """No stage takes a text for another of its id, or of none."""
+    a = "the cat and the dog went to the house in the town and it was good"
+    other = ["we like to read of ships that sail on the open sea at night", "a long letter from the north came to the old man this morning"]
+    rows = [(1, a), (5, a), (5, other[0]), (None, a), (None, other[1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in CP.STAGES[1:-1]:
+        stage(spark, docs, FOLDER).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    left = {(r.doc_id, r.text) for r in docs.collect()}
+    assert {(5, other[0]), (None, other[1])} <= left and {t for _, t in left} == {a, "", *other}
