@@ -40,12 +40,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import ship, staged
+from .common import discard, ship, staged
 
 STATES = 8
-PASSES = 3
+PASSES = 2
 #: Tokens of a block; a longer text makes a block of its own.
-BLOCK = 1 << 19
+BLOCK = 1 << 22
 SEGMENT = 64
 #: Segments worked on at once, which bounds memory.
 TOGETHER = 4096
@@ -79,6 +79,19 @@ def _schema(*names: str) -> T.StructType:
 _ARROW = {T.LongType(): pa.int64(), T.BooleanType(): pa.bool_(), T.StringType(): pa.string(), T.DoubleType(): pa.float64()}
 
 
+def _pack(ids: np.ndarray, width: int) -> bytes:
+    """Numbers as `width` planes of bytes; the upper planes are nearly empty and compress."""
+    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T).tobytes()
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 4), np.uint8)
+    if n:
+        planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view("<u4").ravel().astype(np.int64)
+
+
 def _one_row(schema: T.StructType, values: dict) -> list[pa.Array]:
     out = []
     for field in schema:
@@ -93,7 +106,7 @@ def _one_row(schema: T.StructType, values: dict) -> list[pa.Array]:
 
 def blocks(docs: DataFrame, train: Column, size: int = BLOCK) -> DataFrame:
     """One row a block of documents: doc_ids, train, sizes (tokens of each, with the end), ids
-    (the tokens' places in `words`, 32-bit), words, counts (of each word in training texts)."""
+    (the tokens' places in `words`, packed), words, counts (of each word in training texts)."""
     ship(docs.sparkSession)
     schema = _schema("block", "doc_ids", "train", "sizes", "ids", "words", "counts")
 
@@ -108,7 +121,7 @@ def blocks(docs: DataFrame, train: Column, size: int = BLOCK) -> DataFrame:
             flat = np.concatenate(ids)
             counted = np.concatenate([x for x, t in zip(ids, trained) if t] or [np.empty(0, np.int32)])
             made = _one_row(schema, {
-                "block": first + next(number), "doc_ids": who, "train": trained, "sizes": [len(x) for x in ids], "ids": flat.tobytes(),
+                "block": first + next(number), "doc_ids": who, "train": trained, "sizes": [len(x) for x in ids], "ids": _pack(flat, 4),
                 "words": [w.decode() for w in table], "counts": np.bincount(counted, minlength=len(table)),
             })
             return pa.RecordBatch.from_arrays(made, names=schema.names)
@@ -177,40 +190,46 @@ def coded(made: DataFrame, counts: Counts) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        words = row["words"]
-        c = np.zeros(len(words))
-        shape = [None] * len(words)
-        for lid, n, s in zip(*(right.column(x).to_pylist() for x in ("lid", "c", "shape"))):
-            c[lid], shape[lid] = n, s
+        sizes = np.array(row["sizes"], np.int64)
+        lid, n = right.column("lid").to_numpy(), right.column("c").to_numpy()
+        kind = right.column("shape").combine_chunks().dictionary_encode()
+        names = kind.dictionary.to_pylist()
+        # -1 for words that are classes of their own.
+        shape = kind.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        own = shape < 0
+        keys = [w for w, o in zip(right.column("word").to_pylist(), own) if o] + names + [UNKNOWN]
+        c = np.zeros(row["distinct"])
+        c[lid] = n
+        place = np.full(row["distinct"], len(keys) - 1)
+        place[lid[own]] = np.arange(int(own.sum()))
+        place[lid[~own]] = int(own.sum()) + shape[~own]
         log = np.log10((c + 0.5) / whole)
-        share = np.zeros(len(words))
-        places: dict[str, int] = {}
-        place = np.empty(len(words), np.uint32)
-        for lid, word in enumerate(words):
-            key = UNKNOWN if not c[lid] else shape[lid] if shape[lid] is not None else word
-            place[lid] = places.setdefault(key, len(places))
-            if c[lid] and shape[lid] is not None:
-                share[lid] = log[lid] - np.log10(shapes[shape[lid]] / whole)
-        ids = np.frombuffer(row["ids"], np.int32)
-        owner = np.repeat(np.arange(len(row["sizes"])), row["sizes"])
-        total = lambda x: np.bincount(owner, x[ids], len(row["sizes"]))
+        share = np.zeros(len(c))
+        if names:
+            mass = np.array([shapes[k] for k in names])
+            share[lid[~own]] = log[lid[~own]] - np.log10(mass[shape[~own]] / whole)
+        ids = _unpack(row["ids"], int(sizes.sum()))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        total = lambda x: np.bincount(owner, x[ids], len(sizes))
         values = row | {
-            "known": total((c > 0).astype(float)).astype(np.int64), "base": total(log), "tied": total(share), "keys": list(places),
-            "seq": place[ids].astype(np.uint16 if len(places) < 1 << 16 else np.uint32).tobytes(),
+            "known": total((c > 0).astype(float)).astype(np.int64), "base": total(log), "tied": total(share), "keys": keys,
+            "seq": _pack(place[ids], 2 if len(keys) <= 1 << 16 else 4),
         }
         return pa.Table.from_batches([pa.RecordBatch.from_arrays(_one_row(schema, values), names=schema.names)])
 
     # posexplode numbers the words as the ids do; a word no training text holds has no count.
+    # Only the names of words that become classes travel on.
     listed = made.select(F.col("block").alias("owner"), F.posexplode("words").alias("lid", "word"))
-    found = listed.join(counts.words, "word").select("owner", F.col("lid").cast("long").alias("lid"), "c", "shape")
-    bodies = made.select("block", "doc_ids", "train", "sizes", "ids", "words")
+    found = listed.join(counts.words, "word").select(
+        "owner", F.col("lid").cast("long").alias("lid"), "c", "shape", F.when(F.col("shape").isNull(), F.col("word")).alias("word")
+    )
+    bodies = made.select("block", "doc_ids", "train", "sizes", "ids", F.size("words").cast("long").alias("distinct"))
     return bodies.groupBy("block").cogroup(found.groupBy("owner")).applyInArrow(run, schema)
 
 
 def sequence(row: dict) -> np.ndarray:
     """The classes of a block's tokens, as one flat array."""
-    n = int(sum(row["sizes"]))
-    return np.frombuffer(row["seq"], np.uint16 if len(row["seq"]) == 2 * n else np.uint32).astype(np.int64)
+    return _unpack(row["seq"], int(sum(row["sizes"])))
 
 
 def segments(sizes: np.ndarray, length: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -425,10 +444,15 @@ def fit(bodies: DataFrame, counts: Counts, states: int = STATES, passes: int = P
 
     body = ["train", "sizes", "seq", "keys"]
     found = bodies.select(*body).mapInArrow(begin, _sums(z))
+    sums = table = None
     for last in [False] * passes + [True]:
+        before = sums, table
         sums = staged(found.groupBy("key").agg(*[F.sum(c).alias(c) for c in g]), "sums")
         model = _model(sums, counts.whole, z)
         table = staged(masses.join(sums, "key", "left").na.fill(0.0, g), "emissions")
+        for old in before:
+            if old is not None:
+                discard(old)
         if last:
             break
 
@@ -465,5 +489,6 @@ def language_scores(
     made = staged(blocks(docs, train, size), "blocks")
     counts = count_words(made, rare)
     bodies = staged(coded(made, counts), "coded")
+    discard(made)
     model, table = fit(bodies, counts, states, passes)
     return score(bodies, model, table).withColumn("train_tokens", F.lit(counts.tokens).cast("long"))
