@@ -375,22 +375,32 @@ def sql(needs: str, body: str, r: str = "", digits: int = 6) -> str:
         visit(name)
     with_ = ", ".join(f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({CTE[n][1]})" for n in order)
     if r:
-        rounds = ", ".join(f"round(round({c}, {max(9, digits)}), {digits}) + 0e0 AS {c}" for c in r.split())
+        rounds = ", ".join(f"{rounded_sql(c, digits)} AS {c}" for c in r.split())
         body = f"SELECT * REPLACE ({rounds}) FROM ({body})"
     if with_ and body.lstrip().startswith("WITH"):
         body = f"SELECT * FROM ({body})"
     return f"WITH {with_} {body}" if with_ else body
 
 
+#: Added before cutting off digits: a little more than a half, so that a decimal half goes up
+#: whichever way its last binary digits fell.
+HALF = 0.5001
+
+
+def rounded_sql(c: str, digits: int) -> str:
+    """The SQL of rounded()."""
+    return f"CASE WHEN abs({c}) < {2.0**52 / 10**digits!r} THEN floor({c} * 1e{digits} + {HALF}e0) / 1e{digits} ELSE {c} END"
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column, so that summation order does not show.
-
-    To nine digits first: engines differ in how they round a sum just below a half.
-    """
-    return df.select(*[
-        (F.round(F.round(F.col(f"`{n}`"), max(9, digits)), digits) + F.lit(0.0)).alias(n) if k == "double" else F.col(f"`{n}`")
-        for n, k in df.dtypes
-    ])
+    """Round every double column by plain arithmetic, so that neither summation order nor the
+    engines' own rounding functions show."""
+    scale = F.lit(float(10**digits))
+
+    def near(c):
+        return F.when(F.abs(c) < 2.0**52 / 10**digits, F.floor(c * scale + F.lit(HALF)) / scale).otherwise(c)
+
+    return df.select(*[near(F.col(f"`{n}`")).alias(n) if k == "double" else F.col(f"`{n}`") for n, k in df.dtypes])
 
 
 REGISTRY: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
