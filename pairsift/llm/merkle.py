@@ -6,6 +6,9 @@ FAN neighbours, in order, with their ranges; file roots form a further tree up t
 Two replicas are compared from the root down: at each level only the children of nodes that
 differ are read, and at the leaves the damaged records are named with their offsets.
 
+Inside differing nodes, records of a file are matched by hash, then by page_id, so one that
+was lost leaves the later ones "moved" at most.
+
 A null field is written as empty. Records with equal ids are ordered by url and record. A
 record that only one replica holds is "missing" (second lacks it) or "added". An empty
 archive has no nodes and equals another empty one. Other columns are ignored.
@@ -101,8 +104,8 @@ def _differ(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Damaged records of two replicas (file, row, page_id, record):
-    file, row, page_id, status, start, length, hash_a, hash_b; offsets are the first's where it has the record."""
+    """Damaged records of two replicas (file, row, page_id, record), which need not be written
+    down: file, row, page_id, status, start, length, hash_a, hash_b; offsets are the first's where it has the record."""
     a, b = leaves(first), leaves(second)
     height = heights(a, b)
     levels_a, levels_b = tree(a, height), tree(b, height)
@@ -115,17 +118,33 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
             side[depth].select("*", *keys).join(suspects, ["up_file", "up_at"], "left_semi").drop("up_at", "up_file")
             for side in (levels_a, levels_b)
         ]
-        found = _differ(*below)
         if depth:
-            bad = staged(found.select("file", "at"), "bad")
+            bad = staged(_differ(*below).select("file", "at"), "bad")
     if len(levels_a) == 1:
-        found = _differ(levels_a[0], levels_b[0])
-    names = [x.select("file", F.col("row").alias("at"), F.col("page_id").alias(n)) for x, n in ((a, "ida"), (b, "idb"))]
-    named = found.join(names[0], ["file", "at"], "left").join(names[1], ["file", "at"], "left")
+        below = [levels_a[0], levels_b[0]]
+    return _aligned(*below, a, b)
+
+
+def _aligned(left: DataFrame, right: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Leaves below differing nodes, matched by hash before place, so that a record lost in
+    the middle of a file does not accuse those after it. What is left pairs up by page_id."""
+    side = lambda s, x: s.join(x.select("file", F.col("row").alias("at"), "page_id"), ["file", "at"]).withColumn(
+        "nth", F.row_number().over(W.partitionBy("file", "hash").orderBy("at")))
+    pick = lambda s, x, name: side(s, x).select("file", "hash", "nth", F.struct("at", "page_id", "start", "end", "hash").alias(name))
+    met = pick(left, a, "a").join(pick(right, b, "b"), ["file", "hash", "nth"], "full_outer")
+    moved = met.where("a IS NOT NULL AND b IS NOT NULL AND (a.start != b.start OR a.end != b.end)").select("file", "a", "b")
+
+    def alone(name: str, other: str) -> DataFrame:
+        rows = met.where(f"{other} IS NULL").select("file", F.col(f"{name}.page_id").alias("page_id"), name)
+        return rows.withColumn("nth", F.row_number().over(W.partitionBy("file", "page_id").orderBy(f"{name}.at")))
+
+    x, y = alone("a", "b").alias("x"), alone("b", "a").alias("y")
+    same = (F.col("x.file") == F.col("y.file")) & F.col("x.page_id").eqNullSafe(F.col("y.page_id")) & (F.col("x.nth") == F.col("y.nth"))
+    rest = x.join(y, same, "full_outer").select(F.coalesce("x.file", "y.file").alias("file"), "a", "b")
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "added").when(
         F.col("a.hash") == F.col("b.hash"), "moved").otherwise("changed")
-    return named.select(
-        "file", F.col("at").alias("row"), F.coalesce("ida", "idb").alias("page_id"), status.alias("status"),
+    return moved.union(rest).select(
+        "file", F.coalesce("a.at", "b.at").alias("row"), F.coalesce("a.page_id", "b.page_id").alias("page_id"), status.alias("status"),
         F.coalesce("a.start", "b.start").alias("start"),
         (F.coalesce("a.end", "b.end") - F.coalesce("a.start", "b.start")).alias("length"),
         F.col("a.hash").alias("hash_a"), F.col("b.hash").alias("hash_b"),

@@ -62,7 +62,7 @@ def op4_warc_fixity(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind.isin("06", "07", "08"), F.lit(""))
         .otherwise(text)
     )
-    second = staged(first.withColumn("record", harmed), "replica")
+    second = first.withColumn("record", harmed)
     found = merkle.audit(first, second).where("status != 'moved'").join(merkle.file_starts(first), "file")
     return found.select("page_id", "status", (F.col("start") + F.col("base")).alias("start"), "length", "hash_a", "hash_b")
 

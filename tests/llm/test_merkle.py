@@ -22,6 +22,15 @@ def test_locates_damage(spark, records):
     assert found == {(3, "changed"), (350, "changed"), (699, "missing"), (0, "added")}
 
 
+def test_a_record_lost_in_the_middle(spark):
+    """The replica is archived anew without one page: it alone is missing, others moved."""
+    made = pages(spark, 400).withColumn("html", F.concat("html", F.col("page_id").cast("string")))
+    first, second = merkle.archive(made), merkle.archive(made.where("page_id != 7"))
+    found = [(r.page_id, r.status) for r in merkle.audit(first, second).collect()]
+    assert [f for f in found if f[1] != "moved"] == [(7, "missing")]
+    assert sorted(f[0] for f in found if f[1] == "moved") == list(range(8, 400))
+
+
 def test_offsets(spark):
     first = merkle.archive(pages(spark, 100), records=30)
     whole = {}
