@@ -14,6 +14,8 @@ from .windows import progress
 # Groups up to this size list their own member pairs (at most (n-1)/2 rows per member);
 # larger groups are probed with the requested pairs instead.
 SMALL_GROUP = 16
+# Members of one block of a large group; two blocks meet in one key.
+PAIR_BLOCK = 512
 
 
 def player_hands(seats: DataFrame, hands: DataFrame, action_features: DataFrame, limit=None) -> DataFrame:
@@ -164,23 +166,64 @@ def pair_hands(players: DataFrame, pairs: DataFrame, phase: str, small_group: in
     )
 
 
+def block_pairs(rows: DataFrame, group: str, member: str, carry: list[str] | tuple = (), block: int = PAIR_BLOCK,
+                limit=None) -> DataFrame:
+    """Member pairs (low < high) of groups of any size, from a triangle of blocks.
+
+    `rows` holds each (group, member) once. A group's members are numbered in order and cut
+    into blocks; every pair of blocks is a key of its own, so no key has more than 2 * block
+    rows or block ** 2 pairs, and one group's pairs spread over all tasks. A member is sent
+    once for every block of its group, and once more.
+    """
+    placed = ordered_scan(
+        rows.select(group, member, *carry), [F.col(member)], [group],
+        sums={"__place": F.lit(1)}, totals={"__members": F.lit(1)}, limit=limit,
+    )
+    cut = placed.withColumns({
+        "__b": F.floor((F.col("__place") - 1) / block).cast("int"), "__last": F.floor((F.col("__members") - 1) / block).cast("int"),
+    })
+
+    # A fixed number: few rows make many pairs, so tasks must not be merged by their input.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def side(name: str, i: int, first, last, at: str, other: str) -> DataFrame:
+        return cut.select(
+            group, F.col(member).alias(name), *[F.col(c).alias(f"{c}_{i}") for c in carry],
+            F.col("__b").alias(at), F.explode(F.sequence(first, last)).alias(other),
+        ).repartition(tasks, group, "__i", "__j")
+
+    low = side("low", 1, F.col("__b"), F.col("__last"), "__i", "__j")
+    high = side("high", 2, F.lit(0), F.col("__b"), "__j", "__i")
+    met = low.join(high, [group, "__i", "__j"]).where(F.col("low") < F.col("high"))
+    return met.select(group, "low", "high", *[f"{c}_{i}" for i in (1, 2) for c in carry])
+
+
 def met_pairs(seats: DataFrame, pool: str | None = None, min_shared: int = 1, group: str = "hand_id",
-              member: str = "player_id", small_group: int = SMALL_GROUP, limit=None) -> DataFrame:
+              member: str = "player_id", small_group: int = SMALL_GROUP, limit=None, block: int = PAIR_BLOCK) -> DataFrame:
     """Every member pair that shares at least `min_shared` groups, with the count.
 
-    Small groups list their pairs and the counts combine before the shuffle. When larger
-    groups exist, pairs are found from each member's groups in order of size, leaving out
-    its last `min_shared - 1` (two members with t common groups share one outside their
-    t - 1 largest), and the candidates are then counted exactly.
+    Small groups list their pairs, larger ones deal them out by blocks, and the counts
+    combine before the shuffle. When larger groups exist and several shared groups are
+    asked for, pairs are found from each member's groups in order of size, leaving out its
+    last `min_shared - 1` (two members with t common groups share one outside their t - 1
+    largest), and the candidates are then counted exactly.
     """
     part = [pool] if pool else []
     rows = seats.select(group, member, *part).dropDuplicates([group, member])
     big = large_groups(seats, [group], small_group)
-    if big is None:
-        counts = _list_pairs(rows, group, member, part).groupBy("low", "high").agg(
+
+    def listed(of: DataFrame, carry: list[str]) -> DataFrame:
+        """Pairs of every group of `of`, one row for each group they share."""
+        if big is None:
+            return _list_pairs(of, group, member, carry)
+        few = _list_pairs(of.join(big, group, "left_anti"), group, member, carry)
+        return few.unionByName(block_pairs(of.join(big, group, "left_semi"), group, member, carry, block, limit))
+
+    if big is None or min_shared == 1:
+        counts = listed(rows, part).groupBy("low", "high").agg(
             F.count(F.lit(1)).alias("shared_hands"), *[F.min(f"{p}_1").alias(p) for p in part]
         )
-        return counts.where(F.col("shared_hands") >= min_shared)
+        return counts.where(F.col("shared_hands") >= min_shared).select("low", "high", "shared_hands", *part)
 
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
     ranked = ordered_scan(
@@ -188,10 +231,7 @@ def met_pairs(seats: DataFrame, pool: str | None = None, min_shared: int = 1, gr
         sums={"__from_last": F.lit(1)}, limit=limit,
     )
     kept = ranked.where(F.col("__from_last") >= min_shared).select(group, member)
-    found = (
-        kept.withColumnRenamed(member, "low").join(kept.withColumnRenamed(member, "high"), group)
-        .where(F.col("low") < F.col("high")).select("low", "high").distinct()
-    )
+    found = listed(kept, []).select("low", "high").distinct()
     asked = found.select(
         F.col("low").alias("player_1"), F.col("high").alias("player_2"), pair_key("low", "high").alias("pair_id")
     )

@@ -79,8 +79,37 @@ def test_met_pairs_with_a_crowd(spark, rows):
     seats = skewed_seats(spark)
     want = brute_counts(seats)
     for least in (1, 2, 3):
-        got = {(a, b): n for a, b, n in rows(P.met_pairs(seats, min_shared=least), "low", "high", "shared_hands")}
-        assert got == {k: v for k, v in want.items() if v >= least}
+        for block in (16, P.PAIR_BLOCK):
+            got = {(a, b): n for a, b, n in rows(P.met_pairs(seats, min_shared=least, block=block), "low", "high", "shared_hands")}
+            assert got == {k: v for k, v in want.items() if v >= least}
+
+
+def test_block_pairs(spark, rows):
+    seats = spark.range(75).selectExpr("IF(id < 50, 'hot', IF(id < 74, 'mid', 'one')) AS hand_id", "id * 7 % 101 AS player_id", "id AS x")
+    for block in (1, 7, 64):
+        got = rows(P.block_pairs(seats, "hand_id", "player_id", ["x"], block, limit=20))
+        by = {}
+        for h, p, x in rows(seats):
+            by.setdefault(h, []).append((p, x))
+        assert got == sorted((h, a, b, x, y) for h, m in by.items() for a, x in m for b, y in m if a < b)
+
+
+def test_a_hand_of_20000_members_is_spread(spark):
+    """200 million pairs of one hand: no key holds more than a block's pairs, no task a large share."""
+    n, block = 20_000, 512
+    seats = spark.range(n).selectExpr("1 AS hand_id", "id AS player_id")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    try:
+        met = P.block_pairs(seats, "hand_id", "player_id", block=block)
+        per_task = met.groupBy(F.spark_partition_id()).count().select("count").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    total = n * (n - 1) // 2
+    assert sum(r[0] for r in per_task) == total
+    assert max(r[0] for r in per_task) < total / 8
+    blocks = -(-n // block)
+    assert blocks * (blocks + 1) // 2 * block**2 >= total and met.columns == ["hand_id", "low", "high"]
 
 
 def test_co_membership_with_a_crowd(spark, rows):
