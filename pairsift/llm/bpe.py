@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import arrow_columns, list_array
 
 _NONE = 1 << 62
-#: Runs remembered per worker; the store is emptied when full.
-REMEMBERED = 300_000
+#: Runs remembered per worker, each of up to SHORT characters; the store is emptied when full.
+REMEMBERED, SHORT = 300_000, 100
 #: Pieces of up to so many bytes are merged in step, one tree a row; longer ones one by one.
 TOGETHER = 64
 #: Trees that are worked on in step; few enough to stay in a CPU's cache.
@@ -234,10 +234,14 @@ class Codec:
         first = [self.pattern.findall(p[0]) for p in cut]
         got = self._encode_pieces({x for parts in first for x in parts})
         known = self.known.__getitem__
-        return [
+        out = [
             np.frombuffer(b"".join([got[x] for x in f]) + b"".join(map(known, p[1:])), np.int32)
             for f, p in zip(first, cut)
         ]
+        for run in runs:
+            if len(run) > SHORT:
+                del self.known[run]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]

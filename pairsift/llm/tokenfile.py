@@ -7,13 +7,15 @@ final states are its checkpoint, from which it is decoded alone, and a crc32 of
 tells a damaged block. A segment is a row of a Parquet table, which any file system that
 Spark reads can hold; segments are decoded in parallel.
 
-Null and empty texts are the end id alone. Rows that repeat a doc_id follow each other,
+Ids are those of the library with its own settings, so an added token in a text, such as
+<|endoftext|>, is that token. Null and empty texts are the end id alone. Rows that repeat a doc_id follow each other,
 ordered by a hash of the text; a null doc_id comes first. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,10 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
-from .bpe import REMEMBERED, runs_of
+from .bpe import REMEMBERED, SHORT, runs_of
 from .common import ROWS, ship
 
 SEGMENT, BLOCK, LANES = 1 << 20, 1 << 18, 2048
+#: Runs that go to the library in one string.
+JOINED = 2048
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -139,28 +143,64 @@ def segment_ids(row: dict) -> np.ndarray:
 
 
 class Library:
-    """The tokenizers library, asked once for each run of characters between blanks."""
+    """The tokenizers library, asked once for each run of characters between blanks.
+
+    New runs are joined by blanks and encoded JOINED at a time; the ids are cut apart by the
+    bytes they stand for. Texts that hold an added token, which the library finds before it
+    splits, are encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        # A character of a byte-level token is one byte.
+        self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.widths[i] = len(token)
         self.known: dict[str, bytes] = {}
-
-    def _many(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.older: dict[str, bytes] = {}
+
+    def _many(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _runs(self, runs: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of each run with a blank before it."""
+        groups = [runs[i : i + JOINED] for i in range(0, len(runs), JOINED)]
+        for group, ids in zip(groups, self._many([" " + " ".join(g) for g in groups])):
+            ends = np.cumsum([len(r.encode("utf-8", "replace")) + 1 for r in group])
+            cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
+            data = ids.tobytes()
+            begin = 0
+            for run, cut in zip(group, cuts.tolist()):
+                yield run, data[4 * begin : 4 * cut]
+                begin = cut
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cut = runs_of(texts)
+        whole = [any(a in t for a in self.added) for t in texts]
+        cut = runs_of([t for t, w in zip(texts, whole) if not w])
+        wanted = set().union(*[p[1:] for p in cut])
         if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*[p[1:] for p in cut]) - self.known.keys())
-        for i in range(0, len(new), 8192):
-            some = new[i : i + 8192]
-            self.known.update(zip(some, self._many([" " + r for r in some])))
-        known = self.known.__getitem__
-        return [f + b"".join(map(known, p[1:])) for f, p in zip(self._many([p[0] for p in cut]), cut)]
+            # Runs met since the last change stay within reach, others go.
+            self.known, self.older = {}, self.known
+        missing = wanted - self.known.keys()
+        self.known.update((r, self.older[r]) for r in missing & self.older.keys())
+        missing = sorted(missing - self.older.keys())
+        self.known.update(self._runs([r for r in missing if len(r) <= SHORT]))
+        # A run of any length may come; only short ones are remembered.
+        long = dict(self._runs([r for r in missing if len(r) > SHORT]))
+        known = (self.known | long if long else self.known).__getitem__
+        plain = iter(zip(self._many([p[0] for p in cut]), cut))
+        all_of = iter(self._many([t for t, w in zip(texts, whole) if w]))
+        out = []
+        for w in whole:
+            if w:
+                out.append(next(all_of).tobytes())
+            else:
+                first, parts = next(plain)
+                out.append(first.tobytes() + b"".join(map(known, parts[1:])))
+        return out
 
 
 @lru_cache(maxsize=1)

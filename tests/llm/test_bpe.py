@@ -60,3 +60,10 @@ def test_query(spark):
         ids = KNOWN.encode_ordinary(d.text or "")
         r = got[d.doc_id]
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids)).encode()), sha((d.text or "").encode()))
+
+
+def test_long_runs_are_not_remembered():
+    coder = bpe.Codec(BPE_RANKS, public_tokenizers.PATTERN)
+    got = coder.encode_batch(["a " + "b" * 500 + " c", "a " + "b" * 500])
+    assert max(map(len, coder.known)) <= bpe.SHORT
+    assert coder.decode(got[0]) == b"a " + b"b" * 500 + b" c"

@@ -43,7 +43,6 @@ def test_size_nears_entropy_and_damage_is_seen():
 
 def check(spark, docs, got):
     library = Tokenizer.from_file(LIBRARY_FILE)
-    library.encode_special_tokens = True
     start = 0
     for d, r in zip(docs, got):
         ids = [*library.encode(d[1] or "", add_special_tokens=False).ids, 2]
@@ -51,6 +50,22 @@ def check(spark, docs, got):
         start += len(ids)
 
 
+def test_library_settings_and_store(monkeypatch):
+    library = Tokenizer.from_file(LIBRARY_FILE)
+    coder = TF.Library(LIBRARY_FILE)
+    monkeypatch.setattr(TF, "REMEMBERED", 40)
+    monkeypatch.setattr(TF, "JOINED", 7)
+    rng = np.random.default_rng(3)
+    signs = list("abcXYZ 0129  \n\t'é漢.,!") + ["<|endoftext|>", " the", "\U0001f600", " can't"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(signs, rng.integers(0, 60))) for _ in range(rng.integers(1, 9))]
+        texts += ["a <|endoftext|> b", "x" * 300, "y" * 150 + " " + "z" * 101, ""]
+        got = [np.frombuffer(x, np.uint32).tolist() for x in coder.encode_batch(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert max(map(len, coder.known), default=0) <= TF.SHORT and len(coder.known) < 40 + 400
+    assert library.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def test_odd_rows(spark, monkeypatch):
     docs = odd_documents(spark)
     path = stage_path(spark, "tokens")
