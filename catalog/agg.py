@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pairsift.operators import agg as A, pairs as P, windows as WN
-from pairsift.schema import ACTION_MAXIMA, ACTION_SUMS, INTERACTION_COUNTS, SIGNALS
+from pairsift.schema import ACTION_MAXIMA, ACTION_SUMS, INTERACTION_COUNTS, SAME_COLUMNS, SIGNALS, SUMMARY_FIELDS
 
 from .base import register, sql
 from .rank import ROUTED, predicted
@@ -24,11 +24,18 @@ def aggregate_actions(t):
     return A.aggregate_actions(t.actions, t.event_hands)
 
 
-@register("a02_summarize", sql("pair_hands", "SELECT pair_id, " + ", ".join(
-    f"avg({c}) AS {c}__mean, max({c}) AS {c}__max, quantile_cont({c}, 0.95) AS {c}__p95" for c in ("pair_pot_share", *SIGNALS)) + " FROM pair_hands GROUP BY pair_id",
-    " ".join(f"{c}__{s}" for c in ("pair_pot_share", *SIGNALS) for s in ("mean", "max", "p95"))))
+SUMMARY_SQL = ", ".join(
+    f"avg({c}) AS {c}__mean, CAST(max({c}) AS DOUBLE) AS {c}__max, quantile_cont(CAST({c} AS DOUBLE), 0.95) AS {c}__p95" for c in SUMMARY_FIELDS)
+SUMMARIES = [f"{c}__{s}" for c in SUMMARY_FIELDS for s in ("mean", "max", "p95")]
+
+
+def maxima_as_double(df):
+    return df.withColumns({f"{c}__max": F.col(f"{c}__max").cast("double") for c in SUMMARY_FIELDS})
+
+
+@register("a02_summarize", sql("pair_hands", f"SELECT pair_id, {SUMMARY_SQL} FROM pair_hands GROUP BY pair_id", " ".join(SUMMARIES)))
 def summarize(t):
-    return A.summarize(t.pair_hands(), ["pair_id"], ["pair_pot_share", *SIGNALS])
+    return maxima_as_double(A.summarize(t.pair_hands(), ["pair_id"], SUMMARY_FIELDS))
 
 
 @register("a03_count_by", sql("pair_hands", "SELECT pair_id, count(*) AS shared FROM pair_hands GROUP BY pair_id"))
@@ -129,21 +136,19 @@ def temporal(t):
     return A.temporal_profile(t.pair_hands(), ["pair_id"])
 
 
-SHOWN = ["phase_progress__mean", "transfer_any_bb__max", "soft_signal__p95", "both_showdown__mean", "flow_asymmetry", "directed_signal__t2"]
+FLOWS = ["flow_asymmetry", "dominant_flow_bb"]
 
 
-@register("a09_pair_features", sql("pair_hands players", """
-    SELECT q.pair_id, q.player_1, q.player_2, q.shared_hands, f.*  EXCLUDE (pair_id), abs(a.account_age_days - b.account_age_days) AS account_age_gap,
-        CAST(a.client_family = b.client_family AS INTEGER) AS same_client_family
-    FROM pairs q LEFT JOIN (SELECT pair_id, count(*) AS shared_hands_calc, avg(phase_progress) AS phase_progress__mean, max(transfer_any_bb) AS transfer_any_bb__max,
-        quantile_cont(soft_signal, 0.95) AS soft_signal__p95, avg(both_showdown) AS both_showdown__mean,
+@register("a09_pair_features", sql("pair_hands players", f"""
+    SELECT q.pair_id, q.player_1, q.player_2, q.shared_hands, f.* EXCLUDE (pair_id), b.* EXCLUDE (pair_id), abs(x.account_age_days - y.account_age_days) AS account_age_gap,
+        {", ".join(f"CAST(x.{c} = y.{c} AS INTEGER) AS same_{c}" for c in SAME_COLUMNS)}
+    FROM pairs q LEFT JOIN (SELECT pair_id, count(*) AS shared_hands_calc, min(table_id) AS table_id, {SUMMARY_SQL},
         abs(sum(transfer_1_to_2_bb) - sum(transfer_2_to_1_bb)) / (sum(transfer_1_to_2_bb) + sum(transfer_2_to_1_bb) + 0.001e0) AS flow_asymmetry,
-        avg(CASE WHEN least(3, floor(phase_progress * 4)) = 2 THEN directed_signal END) AS directed_signal__t2
-        FROM pair_hands GROUP BY pair_id) f ON f.pair_id = q.pair_id
-    JOIN players a ON a.player_id = player_1 JOIN players b ON b.player_id = player_2""", " ".join(SHOWN)))
+        greatest(sum(transfer_1_to_2_bb), sum(transfer_2_to_1_bb)) AS dominant_flow_bb FROM pair_hands GROUP BY pair_id) f ON f.pair_id = q.pair_id
+    LEFT JOIN (SELECT *, {RANGES} FROM (SELECT pair_id, {BINS} FROM (SELECT *, least(3, floor(phase_progress * 4)) AS bin FROM pair_hands) GROUP BY pair_id)) b ON b.pair_id = q.pair_id
+    JOIN players x ON x.player_id = player_1 JOIN players y ON y.player_id = player_2""", " ".join([*SUMMARIES, *FLOWS, *BINCOLS])))
 def pair_features(t):
-    return A.pair_features(t.pair_hands(), t.pairs, t.players).select(
-        "pair_id", "player_1", "player_2", "shared_hands", "shared_hands_calc", *SHOWN, "account_age_gap", "same_client_family")
+    return maxima_as_double(A.pair_features(t.pair_hands(), t.pairs, t.players)).drop("account_age_days_1", "account_age_days_2")
 
 
 OUTCOMES = """SELECT DISTINCT c.hand_id, h.phase, h.phase_progress, c.last_aggressor AS aggressor, c.player_id AS responder,

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.game import action_flags, event_ratio, orient
 from ..functions.scalars import clip, num0, safe_ratio, time_bin, total
-from ..scale import as_col, exact_quantiles, pick_nearest, to_long, value_counts_scan
+from ..scale import as_col, exact_quantiles, ordered_scan, pick_linear, pick_nearest, to_long, value_counts_scan
 from ..schema import ACTION_MAXIMA, ACTION_SUMS, INTERACTION_COUNTS, SIGNALS, SUMMARY_FIELDS
 from ..session import max_group_rows
 
@@ -340,8 +340,9 @@ def fit_robust(df: DataFrame, cols: list[str], limit=None) -> DataFrame:
     mid = take(clipped, {"__c": 0.5, "__q1": 0.25, "__q3": 0.75})
     out = []
     for c in cols:
-        spread = mid[f"{c}__q3"] - mid[f"{c}__q1"]
-        out.append((c, med[f"{c}__m"], edge[f"{c}__lo"], edge[f"{c}__hi"], mid[f"{c}__c"], spread or 1.0))
+        # A column without a value has no parameters; its rows stay NULL.
+        spread = None if mid[f"{c}__c"] is None else (mid[f"{c}__q3"] - mid[f"{c}__q1"]) or 1.0
+        out.append((c, med[f"{c}__m"], edge[f"{c}__lo"], edge[f"{c}__hi"], mid[f"{c}__c"], spread))
     return spark.createDataFrame(out, "feature string, " + ", ".join(f"{s} double" for s in ROBUST_STATS))
 
 
@@ -361,11 +362,11 @@ def apply_robust(df: DataFrame, params: DataFrame, cols: list[str]) -> DataFrame
 
 def count_stats(df: DataFrame, key: list[str]) -> DataFrame:
     """Groups, total, and min / median / max rows per group."""
-    hist = count_by(df, key).groupBy("n").agg(F.count(F.lit(1)).alias("f"))
-    return hist.agg(
-        F.sum("f").alias("groups"), F.sum(F.col("n") * F.col("f")).alias("rows"),
-        F.min("n").alias("minimum"), F.percentile("n", F.lit(0.5), F.col("f")).alias("median"),
-        F.max("n").alias("maximum"),
+    hist = count_by(df, key).groupBy(F.col("n").alias("rows")).agg(F.count(F.lit(1)).alias("cnt"))
+    scan = ordered_scan(hist, [F.col("rows")], sums={"upto": "cnt"}, totals={"n": "cnt"})
+    return scan.agg(
+        F.sum("cnt").alias("groups"), F.sum(F.col("rows") * F.col("cnt")).alias("rows"),
+        F.min("rows").alias("minimum"), pick_linear(0.5, "rows").cast("double").alias("median"), F.max("rows").alias("maximum"),
     )
 
 

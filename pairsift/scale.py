@@ -15,6 +15,10 @@ from pyspark.sql.window import Window as W
 from .session import ensure_checkpoint_dir, max_group_rows
 
 _PIECE = "__piece"
+#: Rows of a group that may be listed in one place to read quantiles off.
+LIST_ROWS = 8192
+#: Cells into which a refinement cuts each open cell of a larger group.
+CELLS = 4096
 
 
 def as_col(value) -> Column:
@@ -197,32 +201,93 @@ def pick_nearest(p: float, value: str = "value") -> Column:
     return F.min(F.when(F.col("upto") > pos, F.col(value)))
 
 
+def _linear(low: Column, high: Column, part: Column) -> Column:
+    return F.when(low == high, low).otherwise(low + (high - low) * part)
+
+
+def _listed_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: dict[str, float]) -> DataFrame:
+    """Quantiles of groups of at most LIST_ROWS rows: one list of rows, sorted per column."""
+    packed = df.groupBy(*keys).agg(F.collect_list(F.struct(*cols)).alias("__rows"))
+    value = lambda c: F.sort_array(F.filter(F.transform("__rows", lambda x: x[c]), lambda v: v.isNotNull()))
+    made = packed.select(*keys, *[value(c).alias(c) for c in cols])
+    out = []
+    for c in cols:
+        last = F.greatest(F.size(c) - 1, F.lit(0))
+        for s, p in probs.items():
+            at = last * F.lit(p)
+            low, high = (F.get(F.col(c), f(at).cast("int")) for f in (F.floor, F.ceil))
+            out.append(_linear(low, high, at - F.floor(at)).alias(f"{c}{s}"))
+    return made.select(*keys, *out)
+
+
+def _magnitude(value: Column) -> Column:
+    """A number that never falls as the value grows: sign and binary magnitude."""
+    size = F.abs(value)
+    power = F.when(F.isnan(value), 3000).when(size == float("inf"), 2900).when(size == 0.0, 0).otherwise(
+        1100 + F.floor(F.log2(F.when(size > 0, size))).cast("int"))
+    return F.when(value < 0, -power).otherwise(power)
+
+
+def _refined_quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: dict[str, float]) -> DataFrame:
+    """Quantiles of groups of any size by radix selection.
+
+    Values are counted in cells of equal magnitude, per group and column and for all
+    columns at once. A wanted rank lies in one cell; if the cell holds several values, only
+    its rows are counted again, in CELLS parts between its least and greatest value. A
+    magnitude holds 2^52 doubles, so a few passes end it. Counts combine before every
+    shuffle: no group's values are gathered.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    part = [*keys, "feature"]
+    long = to_long(df, keys, cols).where("value IS NOT NULL").withColumn("parent", F.lit(None).cast("double"))
+    span = [F.count(F.lit(1)).alias("cnt"), F.min("value").alias("lo"), F.max("value").alias("hi")]
+    cells = long.groupBy(*part, "parent", _magnitude(F.col("value")).alias("cell")).agg(*span).checkpoint()
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs.values())]))
+    want = cells.groupBy(*part).agg(F.sum("cnt").alias("n")).select("*", asked.alias("q")).withColumn("at", (F.col("n") - 1) * F.col("q.p"))
+    want = want.select(
+        *part, F.lit(None).cast("double").alias("parent"), F.col("q.i").alias("i"), (F.col("at") - F.floor("at")).alias("part"),
+        F.explode(F.array(*[F.struct(F.lit(k).alias("side"), f("at").alias("rank")) for k, f in enumerate((F.floor, F.ceil))])).alias("r"),
+    ).select(*part, "parent", "i", "part", "r.side", "r.rank")
+    settled = None
+    while True:
+        upto = F.sum("cnt").over(W.partitionBy(*part, "parent").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow))
+        ranked = cells.withColumn("before", upto - F.col("cnt"))
+        found = same_keys_join(want, ranked, [*part, "parent"], "inner").where("rank >= before AND rank < before + cnt")
+        found = found.withColumn("rank", F.col("rank") - F.col("before"))
+        value = F.when((F.col("lo") == F.col("hi")) | (F.col("rank") == 0), F.col("lo")).when(F.col("rank") == F.col("cnt") - 1, F.col("hi"))
+        found = found.select(*part, "i", "part", "side", "rank", "lo", "hi", value.alias("value")).checkpoint()
+        done = found.where("value IS NOT NULL").select(*part, "i", "part", "side", "value")
+        settled = done if settled is None else settled.unionByName(done)
+        rest = found.where("value IS NULL")
+        if rest.isEmpty():
+            break
+        want = rest.select(*part, F.col("lo").alias("parent"), "i", "part", "side", "rank")
+        spans = rest.select(*part, "lo", "hi").distinct()
+        inside = same_keys_join(long.drop("parent"), spans, part, "inner").where("value BETWEEN lo AND hi")
+        cell = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS).cast("int")
+        cells = inside.select(*part, F.col("lo").alias("parent"), cell.alias("cell"), "value").groupBy(*part, "parent", "cell").agg(*span).checkpoint()
+    pick = lambda side: F.max(F.when(F.col("side") == side, F.col("value")))
+    per = settled.groupBy(*part, "i").agg(pick(0).alias("low"), pick(1).alias("high"), F.max("part").alias("part"))
+    per = per.select(*keys, "feature", "i", _linear(F.col("low"), F.col("high"), F.col("part")).alias("value"))
+    wide = per.groupBy(*keys).agg(*[
+        F.max(F.when((F.col("feature") == c) & (F.col("i") == i), F.col("value"))).alias(f"{c}{s}")
+        for c in cols for i, s in enumerate(probs)
+    ])
+    return wide if not keys else same_keys_join(df.select(*keys).distinct(), wide, keys, "left")
+
+
 def exact_quantiles(
     df: DataFrame, keys: list[str], cols: list[str], probs: dict[str, float], limit=None, largest=None
 ) -> DataFrame:
-    """Linear quantiles per group; columns `{col}{suffix}` for each `suffix: p` in probs."""
-    limit = limit or max_group_rows(df.sparkSession)
-    small, large = split_large(df, keys, limit, largest)
-
-    def builtin(frame):
-        # One value map per column serves all its quantiles.
-        asked = F.array(*[F.lit(p) for p in probs.values()])
-        packed = frame.groupBy(*keys).agg(*[F.percentile(F.col(c), asked).alias(c) for c in cols])
-        return packed.select(*keys, *[
-            F.col(c)[i].alias(f"{c}{s}") for c in cols for i, s in enumerate(probs)
-        ])
+    """Linear quantiles per group; columns `{col}{suffix}` for each `suffix: p` in probs.
 
+    Groups of at most LIST_ROWS rows (or `limit`, if less) are listed and sorted; larger
+    ones are refined cell by cell.
+    """
+    limit = min(limit or LIST_ROWS, LIST_ROWS)
+    typed = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    small, large = split_large(typed, keys, limit, largest)
     if large is None:
-        return builtin(df)
-    scan = value_counts_scan(to_long(large, keys, cols), [*keys, "feature"], "value", limit)
-    per = scan.groupBy(*keys, "feature").agg(
-        *[pick_linear(p).alias(f"__q{i}") for i, p in enumerate(probs.values())]
-    )
-    wide = per.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("feature") == c, F.col(f"__q{i}"))).alias(f"{c}{s}")
-            for c in cols
-            for i, s in enumerate(probs)
-        ]
-    )
-    return wide if not keys else builtin(small).unionByName(wide)
+        return _listed_quantiles(typed, keys, cols, probs)
+    refined = _refined_quantiles(large, keys, cols, probs)
+    return refined if not keys else _listed_quantiles(small, keys, cols, probs).unionByName(refined)

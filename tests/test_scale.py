@@ -54,6 +54,37 @@ def test_quantiles_split(skewed, rows):
         assert np.allclose(numbers(got), numbers(want), equal_nan=True)
 
 
+def test_quantiles_of_hard_values(spark):
+    """Radix selection over ties, signs, magnitudes from 1e-300 to 1e300 and close neighbours."""
+    rng = np.random.default_rng(2)
+    sets = {
+        "wide": rng.normal(size=3000) * 10.0 ** rng.integers(-300, 300, 3000),
+        "close": 1.0 + rng.integers(0, 5000, 3000) * 2.0**-52,
+        "ties": np.repeat([-2.5, -0.0, 0.0, 7.0], 750),
+        "one": np.array([3.25]),
+        "inf": np.array([-np.inf, 1.0, 2.0, np.inf, np.inf]),
+        "denormal": rng.integers(-50, 50, 400) * 5e-324,
+    }
+    made = spark.createDataFrame([(k, float(v), None) for k, x in sets.items() for v in x], "g string, v double, empty double").repartition(5)
+    probs = {"__a": 0.0, "__b": 0.31, "__c": 0.5, "__d": 0.95, "__e": 1.0}
+    for limit in (1, 500, None):
+        got = {r.g: r for r in exact_quantiles(made, ["g"], ["v", "empty"], probs, limit=limit).collect()}
+        assert got.keys() == sets.keys()
+        for k, x in sets.items():
+            x = np.sort(x)
+            for s, p in probs.items():
+                at = (len(x) - 1) * p
+                low, high = x[int(np.floor(at))], x[int(np.ceil(at))]
+                want = low if low == high else low + (high - low) * (at - np.floor(at))
+                assert got[k][f"v{s}"] == want and got[k][f"empty{s}"] is None, (k, s, limit)
+
+
+def test_quantiles_gather_no_value_map(skewed):
+    for keys in ([], ["g"]):
+        plan = exact_quantiles(skewed, keys, ["v", "x"], {"__p95": 0.95}, limit=50)._jdf.queryExecution().toString()
+        assert "percentile(" not in plan
+
+
 def test_nearest_quantile(spark):
     df = spark.createDataFrame([(float(i),) for i in range(11)], "value double")
     assert value_counts_scan(df, [], "value").agg(pick_nearest(0.95)).first()[0] == 10.0  # position 9.5 goes up
