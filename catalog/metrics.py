@@ -129,34 +129,57 @@ def tie_views(t):
     return M.tie_views(t.scored, "label", "coarse", "doc_id", "pool")
 
 
-def RANDOM(draws: int) -> str:
-    rows = f"(SELECT *, md5(concat_ws('|', '9917', CAST(draw AS VARCHAR), CAST(doc_id AS VARCHAR))) AS o FROM scored, (SELECT unnest(range({draws})) AS draw))"
-    return f"""SELECT pool, avg(ap) AS random_tie_mean_ap, stddev_pop(ap) AS random_tie_std_ap, min(ap) AS random_tie_min_ap, max(ap) AS random_tie_max_ap
-        FROM ({AP(rows, "label", "coarse", "o", "pool, draw")}) GROUP BY pool"""
-
-
-@register("m09_random_tie_ap", sql("scored", RANDOM(64), "random_tie_mean_ap random_tie_std_ap random_tie_min_ap random_tie_max_ap"))
+def SHUFFLED(rows: str, rounds: int = M.SHUFFLE_ROUNDS, prime: int = M.SHUFFLE_PRIME) -> str:
+    """Rows with x, n, a, b: x moved by the operator's permutation of 0 .. n - 1."""
+    for i in range(rounds):
+        key = f"((a + {i + 1} * b) % {prime})"
+        rows = f"SELECT * EXCLUDE (o, d) REPLACE (CASE WHEN (d >> 12) & 1 = 1 THEN o ELSE x END AS x) FROM (SELECT *, ((greatest(x, o) % {prime}) * ({key} % 1000003 + 1) % {prime}) * 48271 % {prime} AS d FROM (SELECT *, (({key} * 48271 % {prime}) % n + n - x) % n AS o FROM ({rows})))"
+    return rows
+
+
+def RANDOM(rows: str, label: str, score: str, key: str, by: str, draws: int = 512) -> str:
+    """The operator's random tie statistics; every block goes through the permutation."""
+    start = f"""SELECT {by}, s, draw, n, p0, r0, j AS x, ('0x' || substr(h, 1, 7))::BIGINT AS a, ('0x' || substr(h, 8, 7))::BIGINT AS b FROM (
+        SELECT *, md5(concat_ws('|', '9917', CAST(draw AS VARCHAR), CAST(p0 AS VARCHAR), CAST(n AS VARCHAR))) AS h FROM pos JOIN sc USING ({by}, s), (SELECT unnest(range({draws})) AS draw))"""
+    return f"""SELECT {by}, avg(ap) AS random_tie_mean_ap, stddev_pop(ap) AS random_tie_std_ap, min(ap) AS random_tie_min_ap, max(ap) AS random_tie_max_ap FROM (
+        WITH base AS (SELECT *, {label} AS y, {score} AS s FROM {rows}),
+        bl AS (SELECT {by}, s, count(*) AS n, CAST(sum(y) AS BIGINT) AS r FROM base GROUP BY ALL),
+        sc AS MATERIALIZED (SELECT *, CAST(sum(n) OVER w AS BIGINT) - n AS p0, CAST(sum(r) OVER w AS BIGINT) - r AS r0, sum(r) OVER (PARTITION BY {by}) AS tot FROM bl WINDOW w AS (PARTITION BY {by} ORDER BY s DESC)),
+        pos AS (SELECT {by}, s, row_number() OVER (PARTITION BY {by}, s ORDER BY {key}) - 1 AS j FROM base WHERE y = 1),
+        placed AS (SELECT {by}, draw, (r0 + row_number() OVER (PARTITION BY {by}, s, draw ORDER BY x)) / (p0 + x + 1e0) AS g FROM ({SHUFFLED(start)})),
+        per AS (SELECT {by}, draw, sum(g) AS g FROM placed GROUP BY ALL)
+        SELECT {by}, draw, coalesce(g / nullif(tot, 0), 0) AS ap FROM (SELECT DISTINCT {by}, tot FROM sc) CROSS JOIN (SELECT unnest(range({draws})) AS draw) LEFT JOIN per USING ({by}, draw)
+    ) GROUP BY {by}"""
+
+
+@register("m09_random_tie_ap", sql("scored", RANDOM("scored", "label", "coarse", "doc_id", "pool"), "random_tie_mean_ap random_tie_std_ap random_tie_min_ap random_tie_max_ap"))
 def random_tie_ap(t):
-    return M.random_tie_ap(t.scored, "label", "coarse", "doc_id", "pool", draws=64)
+    return M.random_tie_ap(t.scored, "label", "coarse", "doc_id", "pool")
 
 
-FR = [0.02, 0.1, 0.2, 1.0]
+FRACTIONS = ", ".join(f"{f!r}e0" for f in M.ACTIVE_FRACTIONS)
 CURVE = f"""(SELECT doc_id, fraction, f, CAST(active AS INTEGER) AS active, CAST(truth = f AS INTEGER) AS ty, CASE WHEN active AND pred = f THEN score ELSE 0 END AS ts FROM (
     SELECT *, fraction = 1 OR rank() OVER (PARTITION BY fraction ORDER BY score DESC) <= greatest(1, round_even(fraction * count(*) OVER (PARTITION BY fraction), 0)) AS active
-    FROM scored, (SELECT unnest([0.02e0, 0.1e0, 0.2e0, 1e0]) AS fraction)), (SELECT unnest({LANGS}) AS f))"""
+    FROM scored, (SELECT unnest([{FRACTIONS}]) AS fraction)), (SELECT unnest({LANGS}) AS f))"""
 
 
 def CV(order: str) -> str:
     return f"SELECT fraction, avg(ap) AS ap FROM ({AP(CURVE, 'ty', 'ts', order, 'fraction, f')}) GROUP BY fraction"
 
 
+GROUPED = f"""SELECT fraction, avg(ap) AS ap FROM (SELECT fraction, f, coalesce(sum(r * cr / (cn * 1e0)) / nullif(sum(r), 0), 0) AS ap FROM (
+    SELECT *, sum(n) OVER w AS cn, sum(r) OVER w AS cr FROM (SELECT fraction, f, ts, count(*) AS n, sum(ty) AS r FROM {CURVE} GROUP BY ALL)
+    WINDOW w AS (PARTITION BY fraction, f ORDER BY ts DESC)) GROUP BY fraction, f) GROUP BY fraction"""
+
+
 @register("m10_behavior_curve", sql("scored", f"""
-    SELECT a.*, k.ap AS key_order_ap, be.ap AS best_tie_ap, wo.ap AS worst_tie_ap FROM (SELECT fraction, CAST(sum(active) AS BIGINT) AS active_rows, avg(active) AS actual_active_fraction
-        FROM {CURVE} WHERE f = '{LANGS[0]}' GROUP BY fraction) a
-    JOIN ({CV("doc_id")}) k USING (fraction) JOIN ({CV("1 - ty")}) be USING (fraction) JOIN ({CV("ty")}) wo USING (fraction)""",
-    "actual_active_fraction key_order_ap best_tie_ap worst_tie_ap"))
+    SELECT a.*, k.ap AS key_order_ap, gr.ap AS grouped_tie_ap, be.ap AS best_tie_ap, wo.ap AS worst_tie_ap, rt.ap AS random_tie_mean_ap
+    FROM (SELECT fraction, CAST(sum(active) AS BIGINT) AS active_rows, avg(active) AS actual_active_fraction FROM {CURVE} WHERE f = '{LANGS[0]}' GROUP BY fraction) a
+    JOIN ({CV("doc_id")}) k USING (fraction) JOIN ({CV("1 - ty")}) be USING (fraction) JOIN ({CV("ty")}) wo USING (fraction) JOIN ({GROUPED}) gr USING (fraction)
+    JOIN (SELECT fraction, avg(random_tie_mean_ap) AS ap FROM ({RANDOM(CURVE, "ty", "ts", "doc_id", "fraction, f")}) GROUP BY fraction) rt USING (fraction)""",
+    "actual_active_fraction key_order_ap grouped_tie_ap best_tie_ap worst_tie_ap random_tie_mean_ap"))
 def behavior_curve(t):
-    return M.behavior_curve(t.scored, "truth", "pred", "score", "doc_id", FR, LANGS).drop("grouped_tie_ap")
+    return M.behavior_curve(t.scored, "truth", "pred", "score", "doc_id", families=LANGS, draws=512)
 
 
 P3 = "greatest(least({p}, 1 - 2.220446049250313e-16), 2.220446049250313e-16)"

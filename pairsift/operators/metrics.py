@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.slots import clean_slots
+from ..session import ensure_checkpoint_dir
 from ..scale import exact_quantiles, ordered_scan, pick_linear, same_keys_join, to_long
 from ..schema import EVIDENCE_SLOTS, FAMILIES
 from .quality import require_empty
@@ -218,12 +219,46 @@ def tie_views(df: DataFrame, label: str, score: str, key: str, by=None, limit=No
     return out.join(ap, by or ["__all"]).drop("__all")
 
 
+#: Rounds of the keyed permutation, and the prime of its arithmetic.
+SHUFFLE_ROUNDS, SHUFFLE_PRIME = 24, 2147483647
+
+
+def shuffled_place(place: Column, size: Column, a: Column, b: Column) -> Column:
+    """A permutation of 0 .. size - 1 that the two keys (0 .. 2^28 - 1) choose.
+
+    In each round of this swap-or-not shuffle a place and its partner (k - place) mod size
+    change places if a bit drawn for the larger of both says so. So every round, and all
+    together, is a permutation, whatever the size, and one place is found without the others.
+    """
+    prime = F.lit(SHUFFLE_PRIME)
+
+    def turn(x: Column, i: Column) -> Column:
+        key = (a + (i + 1) * b) % prime
+        other = ((key * 48271 % prime) % size + size - x) % size
+        drawn = (F.greatest(x, other) % prime) * (key % 1000003 + 1) % prime * 48271 % prime
+        return F.when(F.shiftright(drawn, 12).bitwiseAND(1) == 1, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(SHUFFLE_ROUNDS - 1).cast("long")), place.cast("long"), turn)
+
+
+def shuffle_keys(seed: int, *parts) -> list[Column]:
+    """Two keys of 28 bits from an md5 of the seed and the parts."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]))
+    return [F.conv(F.substring(digest, at, 7), 16, 10).cast("long") for at in (1, 8)]
+
+
 def random_tie_draws(df: DataFrame, label: str, score: str, key: str, by=None, draws: int = 512,
                      seed: int = 9917, limit=None) -> DataFrame:
-    """AP per draw with ties in md5 order. Only blocks that mix both labels are reshuffled."""
+    """AP per draw with ties in random order.
+
+    In a block of n tied rows, the positives have the first places in order of `key`, and a
+    permutation of all n places, keyed by draw and block, moves them. Only positives of
+    blocks that mix both labels become rows, one for each draw.
+    """
     by = _by(by)
     c = F.col
-    blocks = tie_blocks(df, label, score, by, limit)
+    ensure_checkpoint_dir(df.sparkSession)
+    blocks = tie_blocks(df, label, score, by, limit).checkpoint()
     mixed = (c("r") > 0) & (c("r") < c("n"))
     group = by or [F.lit(0).alias("__all")]
     fixed = blocks.groupBy(*group).agg(
@@ -231,18 +266,20 @@ def random_tie_draws(df: DataFrame, label: str, score: str, key: str, by=None, d
         F.max("positives").alias("positives"),
     )
     gb = by or ["__all"]
-    base = fixed.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    rows = same_keys_join(
-        df.select(*by, c(label).cast("bigint").alias("y"), c(score), key),
-        blocks.where(mixed).select(*by, score, "p0", "r0"), [*by, score], "inner",
-    )
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    rows = rows.withColumn("__o", F.md5(F.concat_ws("|", F.lit(str(seed)), c("draw").cast("string"), c(key).cast("string"))))
-    placed = ordered_scan(
-        rows, [c("__o"), c(key)], [*by, "draw", score], sums={"i": F.lit(1), "h": "y"}, limit=limit
+    every = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+    base = fixed.select("*", every)
+    most = blocks.where(mixed).agg(F.max("r")).first()[0] or 0
+    positives = same_keys_join(
+        df.where(c(label).cast("bigint") == 1).select(*by, score, key), blocks.where(mixed).select(*by, score, "n", "p0", "r0"), [*by, score], "inner",
     )
-    gain = F.sum(F.when(c("y") == 1, (c("r0") + c("h")) / (c("p0") + c("i"))))
-    per = placed.groupBy(*(by or [F.lit(0).alias("__all")]), "draw").agg(gain.alias("gain"))
+    numbered_ = ordered_scan(positives, [c(key)], [*by, score], sums={"j": F.lit(1)}, limit=limit, largest=most)
+    rows = numbered_.select(*by, score, "n", "p0", "r0", (c("j") - 1).alias("j"), every)
+    a, b = shuffle_keys(seed, "draw", "p0", "n")
+    rows = rows.withColumns({"__a": a, "__b": b})
+    rows = rows.withColumn("place", shuffled_place(c("j"), c("n"), c("__a"), c("__b"))).drop("__a", "__b")
+    placed = ordered_scan(rows, [c("place")], [*by, "draw", score], sums={"h": F.lit(1)}, limit=limit, largest=most)
+    gain = F.sum((c("r0") + c("h")) / (c("p0") + c("place") + 1))
+    per = placed.groupBy(*group, "draw").agg(gain.alias("gain"))
     both = same_keys_join(base, per, [*gb, "draw"], "left")
     value = F.coalesce(F.try_divide(c("fixed") + F.coalesce(c("gain"), F.lit(0.0)), c("positives")), F.lit(0.0))
     return both.select(*gb, "draw", value.alias("ap")).drop("__all")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import hash_uniform, md5_order
-from ..scale import numbered, ordered_scan, same_keys_join
+from ..scale import exact_quantiles, numbered, same_keys_join
 
 
 def _serpentine(rn: str, k: int) -> F.Column:
@@ -100,42 +100,86 @@ def feasibility_minima(rows: DataFrame) -> DataFrame:
     ])
 
 
-def bag_sample(unlabelled: DataFrame, labelled: DataFrame, key: str, fold: str, label: str, bags: int = 5,
-               folds: int = 5, seed: int = 7401, limit=None) -> DataFrame:
-    """Unlabelled keys drawn without replacement per (held_out, bag).
+#: Hash buckets of a fold and bag in which keys are counted to find a draw's threshold.
+HASH_BUCKETS = 1 << 16
+
 
-    Each draw takes min(all, max(negatives, 4 x positives)) rows of the training folds.
+def _below_threshold(unlabelled: DataFrame, labelled: DataFrame, key: str, fold: str, label: str, bags: int,
+                     folds: int, seed: int) -> DataFrame:
+    """(held_out, bag, key, __o, wanted) of the keys whose hash bucket a draw can reach.
+
+    Keys are counted per fold, bag and bucket of their hash, so the table of thresholds has
+    a row for each draw: the bucket at which a draw has all the rows it wants.
     """
     held = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held_out")
     sizes = labelled.select(fold, label, held).where(F.col(fold) != F.col("held_out")).groupBy("held_out").agg(
         F.greatest(F.count_if(F.col(label) == 0), 4 * F.count_if(F.col(label) == 1)).alias("wanted")
     )
-    rows = unlabelled.select(key, fold, held).where(F.col(fold) != F.col("held_out"))
-    rows = rows.select(key, "held_out", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))).alias("bag"))
+    rows = unlabelled.select(key, fold, F.explode(F.sequence(F.lit(0), F.lit(bags - 1))).alias("bag"))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("bag").cast("string"), F.col(key).cast("string")))
-    ranked = numbered(rows.withColumn("__o", order), [F.col("__o"), F.col(key)], ["held_out", "bag"], limit=limit)
-    return ranked.join(sizes, "held_out").where(F.col("rn") <= F.col("wanted")).select("held_out", "bag", key)
+    rows = rows.withColumn("__o", order).withColumn("__h", F.conv(F.substring("__o", 1, 4), 16, 10).cast("int"))
+    counted = rows.groupBy(fold, "bag", "__h").agg(F.count(F.lit(1)).alias("n"))
+    seen = counted.select("*", held).where(F.col(fold) != F.col("held_out")).groupBy("held_out", "bag", "__h").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("held_out", "bag").orderBy("__h").rowsBetween(W.unboundedPreceding, W.currentRow))
+    cuts = seen.withColumn("upto", upto).join(sizes, "held_out").groupBy("held_out", "bag", "wanted").agg(
+        F.coalesce(F.min(F.when(F.col("upto") >= F.col("wanted"), F.col("__h"))), F.lit(HASH_BUCKETS)).alias("cut")
+    )
+    # folds * bags rows, whatever the data, so every task can hold them.
+    reach = rows.join(F.broadcast(cuts), "bag").where((F.col(fold) != F.col("held_out")) & (F.col("__h") <= F.col("cut")))
+    return reach.select("held_out", "bag", key, "__o", "wanted")
 
 
-def cluster_weights(pools: DataFrame, pool: str, fold: str, draws: int = 5000, seed: int = 7401) -> DataFrame:
-    """Exponential weight per (draw, pool), scaled to mean 1 in each draw and fold."""
+def bag_sample(unlabelled: DataFrame, labelled: DataFrame, key: str, fold: str, label: str, bags: int = 5,
+               folds: int = 5, seed: int = 7401, limit=None) -> DataFrame:
+    """Unlabelled keys drawn without replacement per (held_out, bag).
+
+    Each draw takes min(all, max(negatives, 4 x positives)) rows of the training folds: those
+    with the least hashes. Only rows below the draw's threshold are sorted, a bucket's worth
+    more than it takes.
+    """
+    reach = _below_threshold(unlabelled, labelled, key, fold, label, bags, folds, seed)
+    ranked = numbered(reach, [F.col("__o"), F.col(key)], ["held_out", "bag"], limit=limit)
+    return ranked.where(F.col("rn") <= F.col("wanted")).select("held_out", "bag", key)
+
+
+#: Draws of one block; a block is an array column, summed element by element.
+DRAW_BLOCK = 32
+
+
+def weight_blocks(pools: DataFrame, pool: str, fold: str, draws: int = 5000, seed: int = 7401, width: int = DRAW_BLOCK) -> DataFrame:
+    """Exponential weights, scaled to mean 1 in each draw and fold: pool, fold, block and an
+    array with the weights of draws block * width, block * width + 1, and so on."""
     base = pools.select(pool, fold).distinct()
-    drawn = base.select(pool, fold, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    u = hash_uniform(seed, "draw", fold, pool)
-    drawn = drawn.withColumn("e", -F.ln(F.greatest(u, F.lit(2.0**-52))))
-    means = drawn.groupBy("draw", fold).agg(F.avg("e").alias("m"))
-    return drawn.join(means, ["draw", fold]).select("draw", pool, fold, (F.col("e") / F.col("m")).alias("weight"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // width) - 1))).alias("block")
+
+    def drawn(k: int) -> Column:
+        draw = (F.col("block") * width + k).cast("string")
+        u = hash_uniform(seed, draw, fold, pool)
+        return F.when(F.col("block") * width + k < draws, -F.ln(F.greatest(u, F.lit(2.0**-52))))
+
+    rows = base.select(pool, fold, blocks).withColumn("e", F.array(*[drawn(k) for k in range(width)]))
+    means = rows.groupBy(fold, "block").agg(F.array(*[F.avg(F.col("e")[k]) for k in range(width)]).alias("m"))
+    scaled = F.transform(F.arrays_zip("e", "m"), lambda x: x["e"] / x["m"])
+    return rows.join(means, [fold, "block"]).select(pool, fold, "block", scaled.alias("weights"))
+
+
+def cluster_weights(pools: DataFrame, pool: str, fold: str, draws: int = 5000, seed: int = 7401) -> DataFrame:
+    """The weights of weight_blocks() as rows: draw, pool, fold, weight."""
+    blocks = weight_blocks(pools, pool, fold, draws, seed)
+    rows = blocks.select("*", F.posexplode("weights").alias("k", "weight")).withColumn("draw", F.col("block") * DRAW_BLOCK + F.col("k"))
+    return rows.where(F.col("draw") < draws).select("draw", pool, fold, "weight")
 
 
-def sensitivity_tree(delta: DataFrame, weights: DataFrame, pool: str = "table_id", fold: str = "outer_fold",
-                     family: str = "behavior_family", lo: float = 0.05, hi: float = 0.95) -> DataFrame:
+def sensitivity_tree(delta: DataFrame, blocks: DataFrame, draws: int, pool: str = "table_id", fold: str = "outer_fold",
+                     family: str = "behavior_family", lo: float = 0.05, hi: float = 0.95, width: int = DRAW_BLOCK) -> DataFrame:
     """Point delta and weighted-draw quantiles overall, per family, fold, both, and family macro.
 
-    Deltas are summed per pool first, so draws multiply pools, not queries.
+    Deltas are summed per pool first and meet whole blocks of draws (weight_blocks), whose
+    elements are summed side by side: rows grow with pools times blocks, not with draws.
     """
     d = delta.select(F.col(pool).alias("pool"), F.col(fold).alias("fold"), F.col(family).alias("family"), "delta")
     cells = d.groupBy("pool", "fold", "family").agg(F.sum("delta").alias("s"), F.count(F.lit(1)).alias("n"))
-    w = weights.select("draw", F.col(pool).alias("pool"), F.col(fold).alias("fold"), "weight")
+    w = blocks.select("block", F.col(pool).alias("pool"), F.col(fold).alias("fold"), "weights")
     sets = [[], [F.col("family")], [F.col("fold")], [F.col("fold"), F.col("family")]]
     level = lambda gid: (
         F.when(gid == 3, "overall").when(gid == 1, "family").when(gid == 2, "fold").otherwise("fold_family")
@@ -143,17 +187,26 @@ def sensitivity_tree(delta: DataFrame, weights: DataFrame, pool: str = "table_id
     point = d.groupingSets(sets, "family", "fold").agg(
         F.grouping_id().alias("gid"), F.avg("delta").alias("point_delta")
     ).select(level(F.col("gid")).alias("level"), "family", "fold", "point_delta")
-    drawn = cells.join(w, ["pool", "fold"])
-    dsets = [[F.col("draw"), *s] for s in sets]
-    per = drawn.groupingSets(dsets, "draw", "family", "fold").agg(
-        F.grouping_id().alias("gid"),
-        (F.sum(F.col("weight") * F.col("s")) / F.sum(F.col("weight") * F.col("n"))).alias("v"),
-    ).select("draw", level(F.col("gid")).alias("level"), "family", "fold", "v")
-    band = [F.percentile("v", F.lit(lo)).alias("lower"), F.percentile("v", F.lit(hi)).alias("upper")]
-    cell = per.groupBy("level", "family", "fold").agg(*band)
-    out = same_keys_join(point, cell, ["level", "family", "fold"], "left")
+    # Only sums over pools are kept per cell and block, so the four levels add up few rows.
+    summed = cells.join(w, ["pool", "fold"]).groupBy("block", "family", "fold").agg(
+        *[F.sum(F.col("weights")[k] * F.col("s")).alias(f"a{k}") for k in range(width)],
+        *[F.sum(F.col("weights")[k] * F.col("n")).alias(f"b{k}") for k in range(width)],
+    )
+    ratio = F.array(*[F.sum(f"a{k}") / F.sum(f"b{k}") for k in range(width)])
+    bsets = [[F.col("block"), *s] for s in sets]
+    per = summed.groupingSets(bsets, "block", "family", "fold").agg(F.grouping_id().alias("gid"), ratio.alias("v")).select(
+        "block", level(F.col("gid")).alias("level"), "family", "fold", F.posexplode("v").alias("k", "v")
+    )
+    per = per.withColumn("draw", F.col("block") * width + F.col("k")).where(F.col("draw") < draws)
+    probs = {"lower": lo, "upper": hi}
+
+    def band(rows: DataFrame, keys: list[str]) -> DataFrame:
+        got = exact_quantiles(rows, keys, ["v"], {f"__{n}": p for n, p in probs.items()}, largest=draws)
+        return got.select(*keys, *[F.col(f"v__{n}").alias(n) for n in probs])
+
+    out = same_keys_join(point, band(per, ["level", "family", "fold"]), ["level", "family", "fold"], "left")
     fam = per.where(F.col("level") == "family").groupBy("draw").agg(F.avg("v").alias("v"))
-    macro_band = fam.agg(*band).withColumn("level", F.lit("macro_family"))
+    macro_band = band(fam.withColumn("level", F.lit("macro_family")), ["level"])
     macro_point = point.where(F.col("level") == "family").agg(F.avg("point_delta").alias("point_delta")).withColumn(
         "level", F.lit("macro_family"))
     types = dict(out.dtypes)

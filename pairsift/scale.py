@@ -100,8 +100,9 @@ def ordered_scan(
     lags: dict | None = None,
     lasts: dict | None = None,
     limit: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Add order-dependent columns within `part`.
+    """Add order-dependent columns within `part`; `largest` is a known bound on its groups.
 
     `sums` are running sums including the current row, `totals` whole-group sums, `lags`
     values of the previous row, `lasts` the latest non-null value before the row. `order`
@@ -110,7 +111,7 @@ def ordered_scan(
     sums, totals, lags, lasts = sums or {}, totals or {}, lags or {}, lasts or {}
     part = list(part)
     limit = limit or max_group_rows(df.sparkSession)
-    small, large = split_large(df, part, limit)
+    small, large = split_large(df, part, limit, largest)
     if large is None:
         return df.select("*", *_scan_columns(part, order, sums, totals, lags, lasts))
 

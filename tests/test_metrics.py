@@ -155,7 +155,7 @@ def test_coverage_and_zero_delta(spark):
     assert Q.coverage_violations(cell(short), cell(tree), ["level"], ["queries"]).count() == 1
     delta = q.withColumn("delta", F.lit(0.0))
     weights = R.cluster_weights(q, "table_id", "outer_fold", 50)
-    low = R.sensitivity_tree(delta, weights)
+    low = R.sensitivity_tree(delta, R.weight_blocks(q, "table_id", "outer_fold", 50), 50)
     assert low.agg(F.max(F.abs("lower")), F.count_if(F.col("lower").isNull())).first() == (0.0, 0)
     per = weights.groupBy("draw", "outer_fold").agg(F.avg("weight").alias("m"))
     assert per.agg(F.max(F.abs(F.col("m") - 1))).first()[0] < 1e-9
@@ -176,3 +176,61 @@ def test_extend_folds_keeps_every_pool(spark):
     folds = R.group_kfold(labelled, "pool", 5)
     got = {r.pool: r.fold for r in R.extend_folds(folds, labelled, fresh, "pool", 5).collect()}
     assert set(got) == set(range(12)) and set(got.values()) == set(range(5))
+
+
+def test_shuffled_places_are_a_permutation(spark):
+    """Each draw moves the places of a block onto themselves, evenly over many draws."""
+    for n in (1, 2, 3, 10, 257):
+        rows = spark.range(n).select(F.col("id").alias("j"), F.lit(n).cast("long").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(399))).alias("draw"))
+        a, b = M.shuffle_keys(5, "draw", "n")
+        pdf = rows.withColumns({"a": a, "b": b}).withColumn("x", M.shuffled_place(F.col("j"), F.col("n"), F.col("a"), F.col("b"))).toPandas()
+        assert (pdf.groupby("draw")["x"].apply(sorted).map(lambda x: x == list(range(n)))).all()
+        if n > 1:
+            first = pdf[pdf["j"] == 0]["x"].to_numpy()
+            assert abs(first.mean() - (n - 1) / 2) < 5 * n / np.sqrt(12 * 400) and len(set(first)) > min(n, 400) * 0.5
+
+
+def test_random_ties_against_numpy_shuffles(spark):
+    """Mean and spread over draws agree with plain shuffles of the tied rows."""
+    rng = np.random.default_rng(4)
+    score, y = np.sort(rng.integers(0, 6, 300))[::-1], rng.integers(0, 4, 300) == 0
+    df = spark.createDataFrame([(i, float(s), int(v)) for i, (s, v) in enumerate(zip(score, y))], "id long, s double, y int")
+    got = M.random_tie_ap(df, "y", "s", "id", draws=512).first()
+    ap = []
+    for _ in range(3000):
+        order = np.lexsort((rng.random(300), -score))
+        z = y[order]
+        ap.append((np.cumsum(z) / np.arange(1, 301) * z).sum() / z.sum())
+    assert abs(got["random_tie_mean_ap"] - np.mean(ap)) < 5 * np.std(ap) / np.sqrt(512)
+    assert 0.8 < got["random_tie_std_ap"] / np.std(ap) < 1.25
+    split = M.random_tie_ap(df, "y", "s", "id", draws=512, limit=20).first()
+    assert np.allclose(list(got), list(split))
+
+
+def test_bags_sort_little_more_than_they_take(spark):
+    from pairsift.operators import resample as R
+
+    rows = spark.range(40_000).selectExpr("id AS key", "id % 5 AS fold")
+    known = spark.range(300).selectExpr("id % 5 AS fold", "CAST(id % 3 = 0 AS INT) AS label")
+    reach = R._below_threshold(rows, known, "key", "fold", "label", 5, 5, 7401).groupBy("held_out", "bag").agg(F.count("key").alias("n"), F.max("wanted").alias("w")).collect()
+    assert len(reach) == 25 and all(r.w <= r.n <= r.w + 12 for r in reach)
+    taken = R.bag_sample(rows, known, "key", "fold", "label").groupBy("held_out", "bag").count().collect()
+    assert {(r.held_out, r.bag): r["count"] for r in taken} == {(r.held_out, r.bag): r.w for r in reach}
+    few = R.bag_sample(rows.where("key < 20"), known, "key", "fold", "label", bags=2).groupBy("held_out", "bag").count().collect()
+    assert len(few) == 10 and all(r["count"] == 16 for r in few)
+
+
+def test_draw_blocks_give_the_quantiles_of_single_draws(spark):
+    from pairsift.operators import resample as R
+
+    rng = np.random.default_rng(6)
+    rows = [(f"q{i}", i % 7, i % 7 % 3, "ab"[i % 2], float(rng.normal())) for i in range(60)]
+    delta = spark.createDataFrame(rows, "pair_id string, table_id long, outer_fold long, behavior_family string, delta double")
+    weights = R.cluster_weights(delta, "table_id", "outer_fold", 70).toPandas()
+    assert len(weights) == 70 * 7
+    w = {(r.draw, r.table_id): r.weight for r in weights.itertuples()}
+    got = {(r.level, r.family, r.fold): r for r in R.sensitivity_tree(delta, R.weight_blocks(delta, "table_id", "outer_fold", 70), 70).collect()}
+    for key, keep in {("overall", None, None): lambda r: True, ("family", "a", None): lambda r: r[3] == "a", ("fold_family", "b", 2): lambda r: r[3] == "b" and r[2] == 2}.items():
+        mine = [r for r in rows if keep(r)]
+        v = [sum(w[d, r[1]] * r[4] for r in mine) / sum(w[d, r[1]] for r in mine) for d in range(70)]
+        assert np.allclose([got[key].lower, got[key].upper, got[key].point_delta], [np.quantile(v, 0.05), np.quantile(v, 0.95), np.mean([r[4] for r in mine])])
