@@ -265,13 +265,16 @@ PER = """SELECT pair_id, behavior_family, outer_fold, table_id, count(*) AS full
     FROM evidence_hands GROUP BY ALL"""
 
 
-@register("a19_readiness", sql("evidence_hands", f"""
+READINESS = f"""
     WITH per AS ({PER}), long AS ({" UNION ALL ".join(
         f"SELECT '{s}' AS scope, behavior_family AS family, outer_fold AS fold, {s}_candidates AS c, {s}_evidence AS e FROM per" for s in ("full", "early", "late"))})
     SELECT scope, family, CAST(fold AS INTEGER) AS fold, count(*) AS pairs, count(*) FILTER (c > e) AS trainable_pairs, count(*) FILTER (c = e) AS zero_preference_pairs,
         min(c) AS candidates_min, max(c) AS candidates_max, min(c - e) AS unjudged_min, max(c - e) AS unjudged_max,
         CAST(sum(c) AS BIGINT) AS candidates, CAST(sum(e) AS BIGINT) AS evidence, CAST(sum(e * (c - e)) AS BIGINT) AS preferences
-    FROM long WHERE e > 0 GROUP BY GROUPING SETS ((scope), (scope, family), (scope, fold), (scope, family, fold))"""))
+    FROM long WHERE e > 0 GROUP BY GROUPING SETS ((scope), (scope, family), (scope, fold), (scope, family, fold))"""
+
+
+@register("a19_readiness", sql("evidence_hands", READINESS))
 def readiness(t):
     return A.readiness(t.evidence_hands, "pair_id", "is_evidence", "behavior_family", "outer_fold")
 

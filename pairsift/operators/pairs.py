@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.game import card_strength, orient, pair_key, pair_measures, pair_signals
 from ..scale import large_groups, largest_group, numbered, ordered_scan
+from ..session import ensure_checkpoint_dir
 from ..schema import ACTION_MEASURES, BASELINE_MEASURES, FAMILIES, PAIR_MEASURES, SAME_COLUMNS, SIGNALS
 from .agg import baselines
 from .quality import duplicate_keys, require_empty
@@ -14,6 +15,8 @@ from .windows import progress
 # Groups up to this size list their own member pairs (at most (n-1)/2 rows per member);
 # larger groups are probed with the requested pairs instead.
 SMALL_GROUP = 16
+# Unjudged rows of a pair that one key of pairwise_preferences holds.
+SALT_ROWS = 100_000
 # Members of one block of a large group; two blocks meet in one key.
 PAIR_BLOCK = 512
 
@@ -344,20 +347,27 @@ def paired_delta(a: DataFrame, b: DataFrame, keys: list[str], col: str, check: b
 
 
 def pairwise_preferences(df: DataFrame, pair: str, relevant: str, cols: list[str],
-                         orders: str = "both") -> DataFrame:
+                         orders: str = "both", salt_rows: int = SALT_ROWS) -> DataFrame:
     """Evidence minus unjudged differences inside each pair, weights summing to 1 per pair.
 
-    Evidence rows are few per pair (ranked slots), so rows grow with the unjudged side.
-    `both` emits each difference and its mirror image; `one` emits a single, alternating
-    orientation of each, which has the same logistic loss at half the rows.
+    Evidence rows are few per pair (ranked slots), so rows grow with the unjudged side. Its
+    rows are dealt out by a salt, so that no key holds much more than `salt_rows` of a pair;
+    evidence, with the weight from the counted sizes, goes to every salt. `both` emits each
+    difference and its mirror image; `one` emits a single, alternating orientation of each,
+    which has the same logistic loss at half the rows.
     """
     flag = F.col(relevant).cast("int") == 1
+    ensure_checkpoint_dir(df.sparkSession)
     sizes = df.groupBy(pair).agg(
         F.count_if(flag).alias("__e"), F.count_if(~flag).alias("__u")
-    )
-    e = df.where(flag).select(pair, *[F.col(c).alias(f"{c}__e") for c in cols])
-    u = df.where(~flag).select(pair, *[F.col(c).alias(f"{c}__u") for c in cols])
-    d = e.join(u, pair).join(sizes, pair)
+    ).where("__e > 0 AND __u > 0").checkpoint()
+    salts = max(1, -(-(sizes.agg(F.max("__u")).first()[0] or 0) // salt_rows))
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt")
+    e = df.where(flag).select(pair, *[F.col(c).alias(f"{c}__e") for c in cols]).join(sizes, pair).select("*", every)
+    # The salt is a function of the row, so a task that runs again deals it out alike.
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int").alias("__salt")
+    u = df.where(~flag).select(pair, salt, *[F.col(c).alias(f"{c}__u") for c in cols])
+    d = e.join(u, [pair, "__salt"])
     w = F.lit(1.0) / (F.col("__e") * F.col("__u"))
     diff = lambda s: [(s * (F.col(f"{c}__e") - F.col(f"{c}__u"))).alias(c) for c in cols]
     if orders == "both":

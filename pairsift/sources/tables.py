@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -40,10 +42,71 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
-def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str) -> DataFrame:
-    """Compute a stage once; read it when its committed output is already there."""
-    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+def _file(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file, on any file system Spark can reach; None if it is not there."""
+    jpath, fs = _file(spark, path)
+    if not fs.exists(jpath):
+        return None
+    stream = fs.open(jpath)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    jpath, fs = _file(spark, path)
+    stream = fs.create(jpath, True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+
+
+def inputs_manifest(inputs: dict) -> str:
+    """What a stage is made from, as text: each table's schema, plan and files (path, length,
+    time of change), or its content if it has no files; every other value as it prints."""
+    out = {}
+    for name, value in inputs.items():
+        if not isinstance(value, DataFrame):
+            out[name] = repr(value)
+            continue
+        files = []
+        for path in sorted(value.inputFiles()):
+            jpath, fs = _file(value.sparkSession, path)
+            status = fs.getFileStatus(jpath)
+            files.append([path, status.getLen(), status.getModificationTime()])
+        if not files:
+            files = [str(x) for x in fingerprint(value).first()]
+        plan = value._jdf.queryExecution().optimizedPlan().canonicalized().toString()
+        out[name] = {"schema": value.schema.simpleString(), "plan": hashlib.md5(plan.encode()).hexdigest(), "files": files}
+    return json.dumps(out, sort_keys=True)
+
+
+#: File beside a stage's data that says what it was made from; written last.
+MANIFEST = "_stage.json"
+
+
+def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str, inputs: dict | None = None) -> DataFrame:
+    """Compute a stage once.
+
+    A stage is read again only if its data and its manifest are complete and the manifest
+    says the same of `inputs` (tables and parameters). One that was cut short, or that was
+    made from other files or parameters, is built anew. Without `inputs`, complete data is
+    taken as it is.
+    """
+    path = path.rstrip("/")
+    done = path_exists(spark, f"{path}/_SUCCESS")
+    wanted = None if inputs is None else inputs_manifest(inputs)
+    if not done or (wanted is not None and read_text(spark, f"{path}/{MANIFEST}") != wanted):
         build().write.mode("overwrite").parquet(path)
+        if wanted is not None:
+            write_text(spark, f"{path}/{MANIFEST}", wanted)
     return spark.read.parquet(path)
 
 

@@ -23,6 +23,29 @@ def test_submission_job(spark, tmp_path):
     assert Q.table_diff(sub, kept).count() == 0  # a finished stage is read, not rebuilt
 
 
+def test_stages_are_rebuilt_when_stale_or_cut_short(spark, tmp_path):
+    source, stage = str(tmp_path / "source"), str(tmp_path / "stage")
+    built = []
+
+    def make(n, k):
+        def build():
+            built.append(n)
+            return spark.read.parquet(source).withColumn("k", F.lit(k))
+        return T.materialize(spark, build, stage, {"rows": spark.read.parquet(source), "k": k}).count()
+
+    spark.range(5).write.parquet(source)
+    assert make("first", 1) == 5 and make("again", 1) == 5 and built == ["first"]
+    assert make("other parameter", 2) == 5 and built == ["first", "other parameter"]
+    spark.range(7).write.mode("append").parquet(source)
+    assert make("new files", 2) == 12 and make("again", 2) == 12 and len(built) == 3
+    (tmp_path / "stage" / T.MANIFEST).unlink()  # cut short after the data
+    assert make("no manifest", 2) == 12 and len(built) == 4
+    (tmp_path / "stage" / "_SUCCESS").unlink()  # cut short within the data
+    assert make("half written", 2) == 12 and len(built) == 5
+    inside = lambda n: T.inputs_manifest({"t": spark.range(n).selectExpr("id * 2 AS x")})
+    assert inside(3) == inside(3) != inside(4)
+
+
 def test_submission_keeps_labelled_pairs_without_hands(spark, tmp_path):
     t = six_pools(spark)
     lone = [("lone1", "g0p0", "g1p0", 1, "soft_play", "confirmed_target"), ("lone0", "g2p0", "g3p0", 0, "none", "confirmed_negative")]

@@ -184,3 +184,36 @@ def test_baselines_two_ways(skewed, rows):
     a = A.baselines(skewed, ["g"], ["v"], largest=300)
     b = A.baselines(skewed, ["g"], ["v"])
     same(rows, a.withColumn("base_v", F.round("base_v", 9)), b.withColumn("base_v", F.round("base_v", 9)))
+
+
+def test_preferences_of_a_hot_pair(spark):
+    """A pair of 100,000 hands: salted keys give each preference once, weights add up to one."""
+    rows = spark.range(100_000).selectExpr("'hot' AS pair_id", "id AS hand_id", "CAST(id % 20000 = 0 AS INT) AS is_evidence", "id % 7 AS x")
+    rows = rows.unionByName(spark.createDataFrame([("small", 1, 1, 3), ("small", 2, 0, 1), ("none", 3, 0, 1)], "pair_id string, hand_id long, is_evidence int, x long"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for orders, times in (("both", 2), ("one", 1)):
+            got = P.pairwise_preferences(rows, "pair_id", "is_evidence", ["x"], orders, salt_rows=10_000)
+            per = {r.pair_id: (r.n, r.w) for r in got.groupBy("pair_id").agg(F.count("x").alias("n"), F.sum("weight").alias("w")).collect()}
+            assert per == {"hot": (5 * 99_995 * times, pytest.approx(1)), "small": (times, pytest.approx(1))}
+        whole = P.pairwise_preferences(rows, "pair_id", "is_evidence", ["x"])
+        key = ["pair_id", "target", "x"]
+        a, b = (d.groupBy(*key).agg(F.count("x").alias("n")) for d in (whole, P.pairwise_preferences(rows, "pair_id", "is_evidence", ["x"], salt_rows=999)))
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_table_difference_reads_differing_buckets_only(spark, rows):
+    from pairsift.operators import quality as Q
+
+    a = spark.range(50_000).selectExpr("id % 40000 AS id", "IF(id % 9 = 0, NULL, id % 5) AS x", "IF(id % 7 = 0, NULL, 'v') AS y")
+    b = a.orderBy(F.col("id").desc()).repartition(7)
+    assert Q.differing_buckets(a, b).count() == 0 and Q.table_diff(a, b).count() == 0
+    c = b.where("id <> 11").unionByName(spark.createDataFrame([(1, None, "z"), (1, None, "z")], a.schema))
+    assert 2 <= Q.differing_buckets(a, c).count() <= 4
+    got = rows(Q.table_diff(a, c), "id", "only_in")
+    assert sorted(got) == sorted([(11, "a")] * a.where("id = 11").count() + [(1, "b")] * 2)
+    swapped = spark.createDataFrame([(None, 1)], "p long, q long"), spark.createDataFrame([(1, None)], "p long, q long")
+    assert Q.table_diff(*swapped).count() == 2
