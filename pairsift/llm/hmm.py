@@ -2,26 +2,27 @@
 
 Tokens are the words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, then one end. The model has
 STATES latent states with a start distribution, transitions, and an emission for every
-token. A token with at least RARE occurrences in the training texts is a class of its own;
-rarer ones share the class of their shape (length, digits, other signs), in which each has
-its share of the unigram model; a token not seen in training keeps its unigram probability
-in every state. So the probabilities of all tokens add up to one in each state, as in the
-unigram base (c + 0.5) / (N + 0.5 * (V + 1)), and the tables grow with the corpus.
+token. A token that makes up SHARE of the training tokens is a class of its own, so there
+are at most 1 / SHARE of them; rarer ones share the class of their shape (length, digits,
+other signs), in which each has its share of the unigram model; a token not seen in training
+keeps its unigram probability in every state. So the probabilities of all tokens add up to
+one in each state, as in the unigram base (c + 0.5) / (N + 0.5 * (V + 1)), whose counts
+cover every word of the corpus.
 
 1. Texts are read once into blocks of about BLOCK tokens: numbers of the block's own words,
-   one row a block. Only a block's distinct words are shuffled: to be counted, to fetch
-   their counts, and in each pass to fetch their emissions.
+   one row a block. Only a block's distinct words are shuffled: to be counted, and to fetch
+   their counts and classes. From then on a text is a sequence of classes.
 2. A pass of Baum-Welch runs forward and backward over segments of SEGMENT tokens of the
-   training texts (a segment that continues a text has a start distribution of its own),
-   sums expected counts per block, and Spark sums them by class. The driver receives the
-   counts of transitions and starts and the states' totals, whatever the corpus.
+   training texts (a segment that continues a text has a start distribution of its own).
+   Each task sums expected counts over its blocks, and Spark sums them over tasks. The
+   driver receives one row a class and sends the emissions back; both are bounded by SHARE.
 3. Scores are exact likelihoods of whole texts. The scaled forward recursion over a segment
    is kept as a matrix from state to state, so segments of one long text are worked on side
    by side, and a text's matrices are multiplied in order.
 
-The first pass has no model yet. It takes as a token's state the crc32 of the last anchor
-before it in the text, or else of the class before it; anchors are the words that make up
-ANCHOR_FROM to ANCHOR_TO of all training tokens, so there are at most 1 / ANCHOR_FROM.
+The first pass has no model yet. It takes as a token's state the number of the last anchor
+before it in the text, or else of the class before it, modulo the states; anchors are the
+words that make up ANCHOR_FROM to ANCHOR_TO of all training tokens.
 
 Null texts count as empty and have the end token alone; empty tables give an empty result,
 and without training texts every token is unknown. Rows without a doc_id are training rows.
@@ -30,7 +31,7 @@ Repeated rows are rows. Further columns are ignored.
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,6 +40,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.window import Window as W
 
 from .common import discard, ship, staged
 
@@ -49,15 +51,13 @@ BLOCK = 1 << 22
 SEGMENT = 64
 #: Segments worked on at once, which bounds memory.
 TOGETHER = 4096
-#: Occurrences in training from which a word has emissions of its own.
-RARE = 20
+#: Part of the training tokens from which a word has emissions of its own.
+SHARE = 4e-6
 #: Weight of the unigram model in each state's emissions, in tokens.
 PRIOR = 50.0
 #: Weight of a uniform distribution in starts and transitions, in tokens.
 SMOOTH = 1.0
 ANCHOR_FROM, ANCHOR_TO = 0.002, 0.02
-#: Fixed names of classes and sums; words hold no blank.
-UNKNOWN, TRANSITION, START, CONTINUE = " ?", " A", " S", " C"
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -67,7 +67,7 @@ def _words(text: str | None) -> list[bytes]:
 
 _LISTS = {
     "doc_ids": T.LongType(), "train": T.BooleanType(), "sizes": T.LongType(), "words": T.StringType(), "counts": T.LongType(),
-    "known": T.LongType(), "base": T.DoubleType(), "tied": T.DoubleType(), "keys": T.StringType(),
+    "known": T.LongType(), "base": T.DoubleType(), "tied": T.DoubleType(),
 }
 
 
@@ -151,78 +151,81 @@ def blocks(docs: DataFrame, train: Column, size: int = BLOCK) -> DataFrame:
 
 def _shape(word: Column) -> Column:
     """Class of rare words: length up to 12, whether there are digits, and other signs."""
-    return F.concat(
-        F.lit(" "), F.least(F.char_length(word), F.lit(12)).cast("string"),
-        F.when(word.rlike("[0-9]"), "d").otherwise(""), F.when(word.rlike("[^0-9a-z]"), "s").otherwise(""),
+    return (
+        F.least(F.char_length(word), F.lit(12)) * 4 + word.rlike("[0-9]").cast("int") * 2 + word.rlike("[^0-9a-z]").cast("int")
     )
 
 
+SHAPES = 13 * 4
+
+
 @dataclass
 class Counts:
-    """Words of the training texts (word, c, shape of a rare one), N, V, shapes' masses."""
+    """Words of the training texts (word, c, class), N, V, and each class's share of the base
+    (0 for the last class, that of unknown words). The first SHAPES classes are shapes."""
 
     words: DataFrame
     tokens: int
     distinct: int
-    shapes: dict[str, float]
+    mass: np.ndarray
+    anchors: np.ndarray
 
     @property
     def whole(self) -> float:
         return self.tokens + 0.5 * (self.distinct + 1)
 
 
-def count_words(made: DataFrame, rare: int = RARE) -> Counts:
+def count_words(made: DataFrame, share: float = SHARE) -> Counts:
     pairs = made.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).where("x.counts > 0")
-    words = pairs.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c"))
-    words = staged(words.withColumn("shape", F.when(F.col("c") < rare, _shape(F.col("word")))), "counts")
-    per = words.groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()
-    return Counts(
-        words, sum(r.c for r in per), sum(r.n for r in per), {r["shape"]: r.c + 0.5 * r.n for r in per if r["shape"] is not None}
-    )
+    words = staged(pairs.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("c")), "counts")
+    tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
+    least = max(2, math.ceil(share * tokens))
+    # At most 1 / share rows, in one task.
+    often = words.where(F.col("c") >= least).withColumn("class", F.row_number().over(W.orderBy("word")) + (SHAPES - 1))
+    often = staged(often, "classes")
+    every = staged(words.join(often.select("word", "class"), "word", "left").withColumn("class", F.coalesce("class", _shape(F.col("word")))), "words")
+    discard(words)
+    rare = every.where(F.col("class") < SHAPES).groupBy("class").agg((F.sum("c") + F.lit(0.5) * F.count("c")).alias("m")).collect()
+    own = often.orderBy("class").select("c").toArrow().column(0).to_numpy()
+    mass = np.zeros(SHAPES + len(own) + 1)
+    mass[[r["class"] for r in rare]] = [r.m for r in rare]
+    mass[SHAPES:-1] = own + 0.5
+    part = own / max(tokens, 1)
+    anchors = SHAPES + np.flatnonzero((part >= ANCHOR_FROM) & (part <= ANCHOR_TO))
+    return Counts(every, tokens, distinct, mass, anchors)
 
 
 def coded(made: DataFrame, counts: Counts) -> DataFrame:
     """One row a block, its texts as sequences of classes: doc_ids, train, sizes, known
-    (tokens), base (log10), tied (log10 of the rare words' shares of their classes), seq
-    (places in `keys`), keys."""
-    schema = _schema("block", "doc_ids", "train", "sizes", "known", "base", "tied", "seq", "keys")
-    whole, shapes = counts.whole, counts.shapes
+    (tokens), base (log10), tied (log10 of the rare words' shares of their classes), seq."""
+    schema = _schema("block", "doc_ids", "train", "sizes", "known", "base", "tied", "seq")
+    whole, classes = counts.whole, len(counts.mass)
+    shapes = np.log10(np.maximum(counts.mass[:SHAPES], 0.5) / whole)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         sizes = np.array(row["sizes"], np.int64)
-        lid, n = right.column("lid").to_numpy(), right.column("c").to_numpy()
-        kind = right.column("shape").combine_chunks().dictionary_encode()
-        names = kind.dictionary.to_pylist()
-        # -1 for words that are classes of their own.
-        shape = kind.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        own = shape < 0
-        keys = [w for w, o in zip(right.column("word").to_pylist(), own) if o] + names + [UNKNOWN]
+        lid, found = right.column("lid").to_numpy(), right.column("class").to_numpy()
         c = np.zeros(row["distinct"])
-        c[lid] = n
-        place = np.full(row["distinct"], len(keys) - 1)
-        place[lid[own]] = np.arange(int(own.sum()))
-        place[lid[~own]] = int(own.sum()) + shape[~own]
+        c[lid] = right.column("c").to_numpy()
+        place = np.full(row["distinct"], classes - 1)
+        place[lid] = found
         log = np.log10((c + 0.5) / whole)
         share = np.zeros(len(c))
-        if names:
-            mass = np.array([shapes[k] for k in names])
-            share[lid[~own]] = log[lid[~own]] - np.log10(mass[shape[~own]] / whole)
+        tied = lid[found < SHAPES]
+        share[tied] = log[tied] - shapes[place[tied]]
         ids = _unpack(row["ids"], int(sizes.sum()))
         owner = np.repeat(np.arange(len(sizes)), sizes)
         total = lambda x: np.bincount(owner, x[ids], len(sizes))
         values = row | {
-            "known": total((c > 0).astype(float)).astype(np.int64), "base": total(log), "tied": total(share), "keys": keys,
-            "seq": _pack(place[ids], 2 if len(keys) <= 1 << 16 else 4),
+            "known": total((c > 0).astype(float)).astype(np.int64), "base": total(log), "tied": total(share),
+            "seq": _pack(place[ids], 3 if classes > 1 << 16 else 2),
         }
         return pa.Table.from_batches([pa.RecordBatch.from_arrays(_one_row(schema, values), names=schema.names)])
 
     # posexplode numbers the words as the ids do; a word no training text holds has no count.
-    # Only the names of words that become classes travel on.
     listed = made.select(F.col("block").alias("owner"), F.posexplode("words").alias("lid", "word"))
-    found = listed.join(counts.words, "word").select(
-        "owner", F.col("lid").cast("long").alias("lid"), "c", "shape", F.when(F.col("shape").isNull(), F.col("word")).alias("word")
-    )
+    found = listed.join(counts.words, "word").select("owner", "lid", "c", "class")
     bodies = made.select("block", "doc_ids", "train", "sizes", "ids", F.size("words").cast("long").alias("distinct"))
     return bodies.groupBy("block").cogroup(found.groupBy("owner")).applyInArrow(run, schema)
 
@@ -249,85 +252,82 @@ def _padded(flat: np.ndarray, start: np.ndarray, n: np.ndarray, pad: int) -> np.
 
 @dataclass
 class Model:
-    """Starts, transitions and state totals; the emissions' counts stay in a table."""
+    """Starts, transitions, and the emissions: a row a class, a column a state."""
 
     start: np.ndarray
     go_on: np.ndarray
     move: np.ndarray
-    totals: np.ndarray
-    whole: float
-
-    def emissions(self, keys: list[str], mass: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """P(class | state) for the block's classes: a row a class."""
-        unknown = 0.5 / self.whole
-        if self.whole > 0.5:
-            e = (1 - unknown) * (counts + PRIOR * (mass / (self.whole - 0.5))[:, None]) / (self.totals + PRIOR)
-        else:
-            e = np.zeros((len(keys), len(self.totals)))
-        for i, k in enumerate(keys):
-            if k == UNKNOWN:
-                e[i] = unknown
-        return e
-
-
-def expected(flat: np.ndarray, sizes: np.ndarray, emit: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (class x state), (state x state), (start or continuing x state)."""
-    z = emit.shape[1]
-    classes = len(emit)
-    emit = np.vstack([emit, np.ones((1, z))])
+    emit: np.ndarray
+
+
+def make_model(counts: Counts, out: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> Model:
+    """The model of expected counts (class x state), (state x state), (start or continuing x state)."""
+    z = out.shape[1]
+    even = lambda x: (x + SMOOTH) / (x + SMOOTH).sum(-1, keepdims=True)
+    unknown = 0.5 / counts.whole
+    known = max(counts.whole - 0.5, 0.5)
+    emit = (1 - unknown) * (out + PRIOR * (counts.mass / known)[:, None]) / (out.sum(0) + PRIOR)
+    emit[-1] = unknown
+    return Model(even(starts[0]), even(starts[1]), even(moves).reshape(z, z), emit)
+
+
+def expected(flat: np.ndarray, sizes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of the texts, as make_model() takes them."""
+    classes, z = model.emit.shape
+    emit = np.vstack([model.emit, np.ones((1, z))])
     out, moves, starts = np.zeros((classes + 1, z)), np.zeros((z, z)), np.zeros((2, z))
     start, n, text = segments(sizes)
     fresh = np.concatenate([[True], text[1:] != text[:-1]]) if len(text) else np.empty(0, bool)
     for at in range(0, len(start), TOGETHER):
         part = slice(at, at + TOGETHER)
-        ids = _padded(flat, start[part], n[part], classes)
-        steps = ids.shape[1]
-        ahead = np.empty((steps, len(ids), z))
-        scale = np.empty((steps, len(ids), 1))
+        ids = np.ascontiguousarray(_padded(flat, start[part], n[part], classes).T)
+        steps = len(ids)
+        seen = emit[ids]
+        ahead = np.empty_like(seen)
+        scale = np.empty((*ids.shape, 1))
         a = np.where(fresh[part, None], model.start, model.go_on)
         for t in range(steps):
-            a = (a if t == 0 else a @ model.move) * emit[ids[:, t]]
+            a = (a if t == 0 else a @ model.move) * seen[t]
             scale[t] = a.sum(1, keepdims=True)
-            a = a / scale[t]
+            a /= scale[t]
             ahead[t] = a
-        b = np.ones((len(ids), z))
-        for t in range(steps - 1, -1, -1):
-            gamma = ahead[t] * b
-            for s in range(z):
-                out[:, s] += np.bincount(ids[:, t], gamma[:, s], classes + 1)
-            if t:
-                c = emit[ids[:, t]] * b / scale[t]
-                real = (ids[:, t] != classes)[:, None]
-                moves += model.move * (ahead[t - 1].T @ (c * real))
-                b = c @ model.move.T
+        b = np.ones((ids.shape[1], z))
+        for t in range(steps - 1, 0, -1):
+            c = seen[t] * b / scale[t]
+            moves += model.move * (ahead[t - 1].T @ (c * (ids[t] != classes)[:, None]))
+            ahead[t] *= b
+            b = c @ model.move.T
+        ahead[0] *= b
         for k, who in enumerate((fresh[part], ~fresh[part])):
-            starts[k] += gamma[who].sum(0)
+            starts[k] += ahead[0][who].sum(0)
+        for s in range(z):
+            out[:, s] += np.bincount(ids.ravel(), ahead[:, :, s].ravel(), classes + 1)
     return out[:-1], moves, starts
 
 
-def guessed(flat: np.ndarray, sizes: np.ndarray, keys: list[str], anchors: set[str], z: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def guessed(flat: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, classes: int, z: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts of the first pass, whose states follow the last anchor or the class before."""
-    home = np.array([zlib.crc32(k.encode()) % z for k in keys], np.int64)
     first = np.cumsum(sizes) - sizes
     begin = np.repeat(first, sizes)
     at = np.arange(len(flat))
-    is_anchor = np.array([k in anchors for k in keys], bool)[flat]
+    mark = np.zeros(classes, bool)
+    mark[anchors] = True
     # The last anchor up to each place; the one before a token is that of the place before.
-    last = np.maximum.accumulate(np.where(is_anchor, at, -1))
+    last = np.maximum.accumulate(np.where(mark[flat], at, -1))
     last = np.concatenate([[-1], last[:-1]])
     before = np.where(last >= begin, last, np.maximum(at - 1, begin))
-    state = np.where(at > begin, home[flat[before]], 0)
-    out = np.bincount(flat * z + state, minlength=len(keys) * z).reshape(-1, z).astype(float)
+    state = np.where(at > begin, flat[before] % z, 0)
+    out = np.bincount(flat * z + state, minlength=classes * z).reshape(-1, z).astype(float)
     pairs = (state[:-1] * z + state[1:])[(at > begin)[1:]]
     moves = np.bincount(pairs, minlength=z * z).reshape(z, z).astype(float)
     starts = np.vstack([np.bincount(state[first], minlength=z), np.bincount(state, minlength=z)]).astype(float)
     return out, moves, starts
 
 
-def likelihoods(flat: np.ndarray, sizes: np.ndarray, emit: np.ndarray, model: Model) -> np.ndarray:
+def likelihoods(flat: np.ndarray, sizes: np.ndarray, model: Model) -> np.ndarray:
     """Natural logarithms of the texts' exact probabilities."""
-    z = emit.shape[1]
-    emit = np.vstack([emit, np.ones((1, z))])
+    z = len(model.move)
+    emit = np.vstack([model.emit, np.ones((1, z))])
     start, n, text = segments(sizes)
     whole = np.empty((len(start), z, z))
     logs = np.zeros(len(start))
@@ -366,98 +366,47 @@ def likelihoods(flat: np.ndarray, sizes: np.ndarray, emit: np.ndarray, model: Mo
     return out
 
 
-def _sums(z: int) -> T.StructType:
-    return T.StructType([T.StructField("key", T.StringType()), *[T.StructField(f"g{s}", T.DoubleType()) for s in range(z)]])
-
-
-def _sum_rows(keys: list[str], found: tuple, z: int) -> pa.RecordBatch:
-    out, moves, starts = found
-    some = np.flatnonzero(out.any(axis=1))
-    names = [keys[i] for i in some] + [f"{TRANSITION}{s}" for s in range(z)] + [START, CONTINUE]
-    values = np.vstack([out[some], moves, starts])
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array(c) for c in values.T]], names=_sums(z).names)
-
-
-def _training(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    sizes, train = np.array(row["sizes"], np.int64), np.array(row["train"], bool)
-    return sequence(row)[np.repeat(train, sizes)], sizes[train]
-
-
-def _emissions(bodies: DataFrame, table: DataFrame, body: list[str], z: int):
-    """Each block's row beside the counts of its classes, as two tables grouped by block."""
-    listed = bodies.select(F.col("block").alias("owner"), F.posexplode("keys").alias("at", "key"))
-    found = listed.join(table, "key").select("owner", F.col("at").cast("long").alias("at"), "mass", *[f"g{s}" for s in range(z)])
-    return bodies.select("block", *body).groupBy("block").cogroup(found.groupBy("owner"))
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _block_emissions(row: dict, right: pa.Table, model: Model) -> np.ndarray:
-    z = len(model.totals)
-    mass, counts = np.zeros(len(row["keys"])), np.zeros((len(row["keys"]), z))
-    at = right.column("at").to_numpy()
-    mass[at] = right.column("mass").to_numpy()
-    for s in range(z):
-        counts[at, s] = right.column(f"g{s}").to_numpy()
-    return model.emissions(row["keys"], mass, counts)
+def _summed(bodies: DataFrame, classes: int, z: int, count) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over all blocks of `count`, a function of a block's training texts.
 
+    Each task adds up its blocks and gives a row for every class it met, and for every
+    state and start after the classes; Spark adds up the tasks."""
+    names = ["key", *[f"g{s}" for s in range(z)]]
 
-def _model(sums: DataFrame, whole: float, z: int) -> Model:
-    """Starts and transitions from the sums' few rows that are no classes."""
-    g = [f"g{s}" for s in range(z)]
-    few = {r.key: np.array([r[c] for c in g]) for r in sums.where(F.col("key").isin([START, CONTINUE, *[f"{TRANSITION}{s}" for s in range(z)]])).collect()}
-    rest = sums.where(~F.col("key").isin(list(few))).agg(*[F.sum(c).alias(c) for c in g]).first() if few else None
-    even = lambda key: (few.get(key, np.zeros(z)) + SMOOTH) / (few.get(key, np.zeros(z)).sum() + z * SMOOTH)
-    totals = np.array([(rest[c] if rest else 0) or 0.0 for c in g])
-    return Model(even(START), even(CONTINUE), np.vstack([even(f"{TRANSITION}{s}") for s in range(z)]), totals, whole)
-
-
-def _pass(model: Model):
-    """Expected counts of one block under `model`."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        flat, sizes = _training(row)
-        emit = _block_emissions(row, right, model)
-        return pa.Table.from_batches([_sum_rows(row["keys"], expected(flat, sizes, emit, model), len(model.totals))])
-
-    return run
-
-
-def fit(bodies: DataFrame, counts: Counts, states: int = STATES, passes: int = PASSES) -> tuple[Model, DataFrame]:
-    """The model, and its emissions' table: key, mass, g0 ... of every class seen in training."""
-    spark, z = bodies.sparkSession, states
-    g = [f"g{s}" for s in range(z)]
-    frequent = counts.words.where("shape IS NULL").select(F.col("word").alias("key"), (F.col("c") + 0.5).alias("mass"))
-    shapes = spark.createDataFrame(list(counts.shapes.items()), "key string, mass double")
-    masses = staged(frequent.unionByName(shapes), "masses")
-    share = F.col("c") / F.lit(max(counts.tokens, 1))
-    chosen = counts.words.where(share.between(ANCHOR_FROM, ANCHOR_TO) & F.col("shape").isNull())
-    anchors = {r.word for r in chosen.select("word").collect()}
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                flat, sizes = _training(row)
-                if not len(flat):
-                    continue
-                yield _sum_rows(row["keys"], guessed(flat, sizes, row["keys"], anchors, z), z)
-
-    body = ["train", "sizes", "seq", "keys"]
-    found = bodies.select(*body).mapInArrow(begin, _sums(z))
-    sums = table = None
-    for last in [False] * passes + [True]:
-        before = sums, table
-        sums = staged(found.groupBy("key").agg(*[F.sum(c).alias(c) for c in g]), "sums")
-        model = _model(sums, counts.whole, z)
-        table = staged(masses.join(sums, "key", "left").na.fill(0.0, g), "emissions")
-        for old in before:
-            if old is not None:
-                discard(old)
-        if last:
-            break
-
-        found = _emissions(bodies, table, body, z).applyInArrow(_pass(model), _sums(z))
-    return model, table
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((classes + z + 2, z))
+        for row in _rows(batches):
+            sizes, train = np.array(row["sizes"], np.int64), np.array(row["train"], bool)
+            flat = sequence(row)[np.repeat(train, sizes)]
+            if len(flat):
+                out, moves, starts = count(flat, sizes[train])
+                total[:classes] += out
+                total[classes:] += np.vstack([moves, starts])
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array(c) for c in total[some].T]], names=names)
+
+    made = bodies.select("train", "sizes", "seq").mapInArrow(run, "key long, " + ", ".join(f"{n} double" for n in names[1:]))
+    got = made.groupBy("key").agg(*[F.sum(n).alias(n) for n in names[1:]]).toArrow()
+    total = np.zeros((classes + z + 2, z))
+    total[got.column("key").to_numpy()] = np.column_stack([got.column(n).to_numpy() for n in names[1:]])
+    return total[:classes], total[classes : classes + z], total[classes + z :]
+
+
+def fit(bodies: DataFrame, counts: Counts, states: int = STATES, passes: int = PASSES) -> Model:
+    """The model after one guessed pass and `passes` passes of Baum-Welch over `bodies`."""
+    classes, z, anchors = len(counts.mass), states, counts.anchors
+    model = make_model(counts, *_summed(bodies, classes, z, lambda f, s: guessed(f, s, anchors, classes, z)))
+    for _ in range(passes):
+        # Bounded by SHARE: at most 1 / SHARE classes beside the shapes.
+        sent = bodies.sparkSession.sparkContext.broadcast(model)
+        model = make_model(counts, *_summed(bodies, classes, z, lambda f, s, sent=sent: expected(f, s, sent.value)))
+    return model
 
 
 _SCORES = T.StructType([
@@ -466,29 +415,29 @@ _SCORES = T.StructType([
 ])
 
 
-def score(bodies: DataFrame, model: Model, table: DataFrame) -> DataFrame:
+def score(bodies: DataFrame, model: Model) -> DataFrame:
     """doc_id, train, n_tokens, n_known, base_score, score (log10) of every text."""
+    sent = bodies.sparkSession.sparkContext.broadcast(model)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        logs = likelihoods(sequence(row), np.array(row["sizes"], np.int64), _block_emissions(row, right, model), model)
-        # Rounding may lift a probability of one above it.
-        logs = np.minimum(logs / np.log(10) + np.array(row["tied"]), 0.0)
-        columns = [row["doc_ids"], row["train"], row["sizes"], row["known"], row["base"], logs]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_SCORES.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            logs = likelihoods(sequence(row), np.array(row["sizes"], np.int64), sent.value)
+            # Rounding may lift a probability of one above it.
+            logs = np.minimum(logs / np.log(10) + np.array(row["tied"]), 0.0)
+            columns = [row["doc_ids"], row["train"], row["sizes"], row["known"], row["base"], logs]
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_SCORES.names)
 
-    body = ["doc_ids", "train", "sizes", "known", "base", "tied", "seq", "keys"]
-    return _emissions(bodies, table, body, len(model.totals)).applyInArrow(run, _SCORES)
+    return bodies.select("doc_ids", "train", "sizes", "known", "base", "tied", "seq").mapInArrow(run, _SCORES)
 
 
 def language_scores(
-    docs: DataFrame, train: Column, states: int = STATES, passes: int = PASSES, rare: int = RARE, size: int = BLOCK
+    docs: DataFrame, train: Column, states: int = STATES, passes: int = PASSES, share: float = SHARE, size: int = BLOCK
 ) -> DataFrame:
     """`docs` (doc_id, text) -> doc_id, train, n_tokens, n_known, train_tokens, base_score, score."""
     made = staged(blocks(docs, train, size), "blocks")
-    counts = count_words(made, rare)
+    counts = count_words(made, share)
     bodies = staged(coded(made, counts), "coded")
     discard(made)
-    model, table = fit(bodies, counts, states, passes)
-    return score(bodies, model, table).withColumn("train_tokens", F.lit(counts.tokens).cast("long"))
+    model = fit(bodies, counts, states, passes)
+    return score(bodies, model).withColumn("train_tokens", F.lit(counts.tokens).cast("long"))
