@@ -19,8 +19,6 @@ score 0; an empty training table makes every text "und".
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -32,7 +30,6 @@ SAMPLE = 400
 LANGUAGES = 64
 #: Contexts kept over all languages, the most frequent first.
 NODES = 16_000
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _grams(text: bytes) -> np.ndarray:
@@ -171,7 +168,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         names, scores, bits = [], [], []
         counts = shared.value["counts"]
         for t in batch.column(0).to_pylist():
-            if not t or not counts or not _LETTER.search(t):
+            if not t or not counts or not any(map(str.isalpha, t)):
                 names.append("und"), scores.append(0.0), bits.append(None)
                 continue
             trees = _from(shared.value)

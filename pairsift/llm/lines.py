@@ -16,7 +16,8 @@ Blank lines resemble nothing and stay.
 4. Crowds: each class first meets one class for each of its last prefix tokens, the same
    for a whole crowd, which settles most members of a large group. Only classes still unsettled then look for
    an earlier match among all classes.
-5. Candidates are verified on their full token sets, read again from the text.
+5. Candidates are compared by parity sketches of 256 slots, and what is left on their full
+   token sets, read again from the text.
 
 A null doc_id counts as the smallest. Rows that repeat a doc_id have the same places, which
 are not earlier than each other; they are told apart by a hash of their texts, so each row
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from .common import staged
+from .common import discard, staged
 
 BUCKETS = 1 << 16
 #: Parts of a crowd, each with its own first class.
@@ -42,17 +43,17 @@ _SPACES = "\t\n\x0b\x0c\r"
 _NO_ID = -(1 << 63)
 
 
-def _pieces(text: Column) -> Column:
-    """Lower-cased words, and an empty one between two blanks. A plain blank needs no
-    regular expression, which would be compiled for every line."""
+def _plain(text: Column, spaces: str) -> Column:
+    """Lower-cased, with blanks for `spaces`; done on whole texts, not line by line."""
     text = F.lower(text)
-    for space in _SPACES:
+    for space in spaces:
         text = F.replace(text, F.lit(space), F.lit(" "))
-    return F.split(text, " ")
+    return text
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(_pieces(text), "")
+def _words(line: Column) -> Column:
+    """Words of a line of a plain text. A plain blank needs no regular expression."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _bucket(token: Column) -> Column:
@@ -61,7 +62,7 @@ def _bucket(token: Column) -> Column:
 
 def token_ranks(docs: DataFrame) -> DataFrame:
     """One row, one array: the rank by count of every hash bucket, from -32768."""
-    words = docs.select(F.explode(_pieces(F.col("text"))).alias("w")).where("w != ''")
+    words = docs.select(F.explode(F.split(_plain(F.col("text"), _SPACES), " ")).alias("w")).where("w != ''")
     counts = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).count()
     every = docs.sparkSession.range(BUCKETS).toDF("bucket").join(counts, "bucket", "left").select(
         "bucket", F.coalesce("count", F.lit(0)).alias("n")
@@ -90,8 +91,8 @@ def _bit(number: Column) -> Column:
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """d, t, l, line of every line."""
-    return docs.select("d", "t", F.posexplode(F.split("text", "\n")).alias("l", "line"))
+    """d, t, l, line of every line, lower-cased and with plain blanks only."""
+    return docs.select("d", "t", F.posexplode(F.split(_plain(F.col("text"), _SPACES.replace("\n", "")), "\n")).alias("l", "line"))
 
 
 def _coded(places: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def line_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every line with tokens (d, t, l, k1, k2, n, parity, prefix), and the rank table."""
     ranks = token_ranks(docs)
     # Not a filter on the codes: pushed below them, it would compute every line's codes twice.
-    written = F.btrim("line", F.lit(" " + _SPACES)) != ""
+    written = F.btrim("line") != ""
     made = _coded(_places(docs).where(written), ranks)
     n = F.size("codes")
     lines = made.select(
@@ -186,16 +187,48 @@ def _all_pairs(classes: DataFrame) -> DataFrame:
     return _placed(met.selectExpr("xcid AS a", "ycid AS b").distinct(), classes)
 
 
+def _sketch(codes: Column) -> list[Column]:
+    """Four longs: how many codes fall into each of 256 slots, modulo two."""
+    zero = F.lit(0).cast("long")
+
+    def part(i: int) -> Column:
+        def add(a: Column, c: Column) -> Column:
+            return a.bitwiseXOR(F.when(F.shiftright(c, 12).bitwiseAND(3) == i, _bit(F.shiftright(c, 6))).otherwise(zero))
+
+        return F.aggregate(codes, zero, add)
+
+    return [part(i) for i in range(4)]
+
+
 def _verified(docs: DataFrame, ranks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """d, t, l of the later lines of the pairs whose token sets are similar."""
+    """d, t, l of the later lines of the pairs whose token sets are similar.
+
+    The lines of the pairs are coded again, once. Pairs first fetch sketches of 256 slots,
+    whose difference bounds that of the sets from below also for long lines; only what is
+    left fetches the token codes. `pairs` is a written table; it is removed.
+    """
     ends = pairs.select(F.col("dx").alias("d"), F.col("lx").alias("l")).union(pairs.select("dy", "ly")).distinct()
     wanted = _filter_of(ends)
-    found = _coded(_places(docs).where(_maybe(wanted.scalar())), ranks)
-    side = lambda s: found.select(*[F.col(c).alias(f"{c}{s}") for c in ("d", "t", "l")], F.col("codes").alias(f"c{s}"))
-    both = pairs.join(side("x"), ["dx", "tx", "lx"]).join(side("y"), ["dy", "ty", "ly"])
-    common = F.size(F.array_intersect("cx", "cy"))
-    similar = both.where(9 * common >= 4 * (F.size("cx") + F.size("cy")))
-    return similar.select(F.col("dy").alias("d"), F.col("ty").alias("t"), F.col("ly").alias("l")).distinct()
+    key = ["d", "t", "l"]
+    coded = _coded(_places(docs).where(_maybe(wanted.scalar())), ranks)
+    found = staged(coded.select(*key, "codes", F.size("codes").alias("n"), *[x.alias(f"s{i}") for i, x in enumerate(_sketch(F.col("codes")))]), "coded")
+
+    def fetched(rows: DataFrame, cols: list[str]) -> DataFrame:
+        for s in "xy":
+            side = found.select(*[F.col(c).alias(f"{c}{s}") for c in [*key, *cols]])
+            rows = rows.join(side, [f"{c}{s}" for c in key])
+        return rows
+
+    apart = sum(F.bit_count(F.col(f"s{i}x").bitwiseXOR(F.col(f"s{i}y"))) for i in range(4))
+    near = fetched(pairs, ["n", "s0", "s1", "s2", "s3"]).where(9 * apart <= F.col("nx") + F.col("ny"))
+    near = staged(near.select(*[f"{c}{s}" for s in "xy" for c in key]), "near")
+    both = fetched(near, ["codes"])
+    common = F.size(F.array_intersect("codesx", "codesy"))
+    similar = both.where(9 * common >= 4 * (F.size("codesx") + F.size("codesy")))
+    late = staged(similar.select(F.col("dy").alias("d"), F.col("ty").alias("t"), F.col("ly").alias("l")).distinct(), "late")
+    for spent in (pairs, wanted, found, near):
+        discard(spent)
+    return late
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -207,7 +240,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         ).select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "first.d", "first.t", "first.l", "n", "parity", "prefix"), "classes",
     )
     at_first = classes.withColumn("open", F.lit(1))
-    settled = staged(_verified(docs, ranks, staged(_crowd_pairs(at_first), "crowd")), "settled")
+    settled = _verified(docs, ranks, staged(_crowd_pairs(at_first), "crowd"))
     marked = settled.withColumn("gone", F.lit(1))
     opened = classes.join(marked, ["d", "t", "l"], "left").withColumn("open", F.coalesce(1 - F.col("gone"), F.lit(1))).drop("gone")
     more = _verified(docs, ranks, staged(_all_pairs(opened), "pairs"))
@@ -216,7 +249,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     doomed = classes.join(gone, ["d", "t", "l"], "left_semi").select("k1", "k2", F.lit(True).alias("all"))
     owner = classes.select("k1", "k2", F.col("d").alias("fd"), F.col("l").alias("fl")).join(doomed, ["k1", "k2"], "left")
     late = (F.col("d") > F.col("fd")) | ((F.col("d") == F.col("fd")) & (F.col("l") > F.col("fl")))
-    return lines.select("d", "t", "l", "k1", "k2").join(owner, ["k1", "k2"]).where(late | F.col("all").isNotNull()).select("d", "t", "l").distinct()
+    found = lines.select("d", "t", "l", "k1", "k2").join(owner, ["k1", "k2"]).where(late | F.col("all").isNotNull())
+    found = staged(found.select("d", "t", "l").distinct(), "removed")
+    for spent in (lines, ranks, classes, settled, more):
+        discard(spent)
+    return found
 
 
 def _row_key(doc_id: str, text: str) -> list[Column]:
@@ -226,7 +263,7 @@ def _row_key(doc_id: str, text: str) -> list[Column]:
 
 def _with_removed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     named = docs.select(*_row_key(doc_id, text), F.col(text).alias("text")).where("text IS NOT NULL")
-    gone = staged(removed_lines(named), "removed")
+    gone = removed_lines(named)
     return named, staged(gone.groupBy("d", "t").agg(F.sort_array(F.collect_set("l")).alias("gone")), "gone")
 
 

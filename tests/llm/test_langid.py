@@ -61,6 +61,12 @@ def test_odd_rows(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_numbers_are_no_letters(spark):
+    model = langid.fit(odd_documents(spark))
+    rows = spark.createDataFrame([(1, "½ ² Ⅷ 12 _"), (2, "½ a")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred == "und" for r in langid.predict(rows, model).collect()} == {1: True, 2: False}
+
+
 @pytest.mark.skipif(not have_tables(), reason="no tables")
 def test_held_out_accuracy(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
