@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pairsift.operators import metrics as M, resample as R
 from pairsift.plans import ml
-from pairsift.schema import FAMILIES
+from pairsift.schema import FAMILIES, SIGNALS
 
 from .base import LANGS, register, sql
 
@@ -13,9 +13,13 @@ TREES = ml.Trees(max_iter=3, depth=3, min_rows=5)
 COLS = ["n_chars", "words", "digits", "upper", "lines", "accents", "spread"]
 
 
-def documents(t):
-    """Numeric traits of every document, over its whole text."""
+def documents(t, part: str = "full"):
+    """Numeric traits of every document, over its whole text or its early or late half."""
     d = t.raw["documents"]
+    middle = F.floor(F.length("text") / 2).cast("int")
+    half = {"early": F.substring(F.col("text"), F.lit(1), middle), "late": F.substring(F.col("text"), middle + 1, F.length("text"))}
+    if part in half:
+        d = d.withColumn("text", half[part]).withColumn("n_chars", F.length("text").cast("long"))
     text = F.col("text")
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
     return d.select(
@@ -111,12 +115,28 @@ def select_c(t):
     return ml.select_c(q)
 
 
+ROUTE_COLS = [f"{c}__mean" for c in SIGNALS]
+
+
+def route_features(hands, *keep: str):
+    """Mean signals of every pair, all a family model sees of it, beside the kept columns."""
+    return hands.groupBy("pair_id").agg(*[F.avg(c).alias(f"{c}__mean") for c in SIGNALS], *[F.min(c).alias(c) for c in keep]).withColumn("label", F.lit(1))
+
+
+def held_out_routes(t, hands):
+    """Family of each pair by models that never saw a pair of its outer fold."""
+    pairs = t.stage(route_features(hands, "outer_fold", "behavior_family"))
+    return ml.routed(ml.oof_family(pairs, pairs, ROUTE_COLS, "outer_fold", "label", "behavior_family", FAMILIES, TREES)).select("pair_id", "predicted_route")
+
+
 @register("l10_evidence_ranker")
 def evidence_ranker(t):
-    dev = t.evidence_hands
-    ev = t.pair_hands("evaluation").withColumn(
-        "predicted_route", F.element_at(F.array(*[F.lit(x) for x in FAMILIES]), ((F.col("player_1") + F.col("player_2")) % 3 + 1).cast("int")))
-    return ml.evidence_ranker(dev, ev, RANKED[:2], folds=2, max_iter=8)[0]
+    """Evaluation pairs go to the ranker of the family that a model of the development pairs predicts."""
+    dev = t.stage(t.evidence_hands)
+    ev = t.stage(t.pair_hands("evaluation"))
+    asked = route_features(ev).drop("label")
+    routes = ml.routed(ml.family_probs(route_features(dev, "behavior_family"), asked, ROUTE_COLS, "label", "behavior_family", FAMILIES, TREES))
+    return ml.evidence_ranker(dev, ev.join(routes.select("pair_id", "predicted_route"), "pair_id"), RANKED, folds=2, max_iter=8)[0]
 
 
 @register("l11_global_pairwise_risk")

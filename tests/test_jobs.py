@@ -132,3 +132,26 @@ def test_unlabelled_job(spark):
     out = J.build_unlabelled(players, t["development_labels"], t["players"], 3)
     assert out["pairs"].count() == 2 * 15 - 4 and "label" not in out["features"].columns
     assert {r["metric"]: r["value"] for r in out["manifest"].collect()}["per_table_median"] == 13.0
+
+
+@pytest.fixture(scope="module")
+def ablated(planted):
+    """Metrics of an ablation with time transfer: z is noise for the label, x separates it."""
+    rest = planted.drop("label", "family").withColumn("count", F.hash("key") % 50)
+    rows = planted.withColumn("count", F.hash("key") % 50)
+    late = planted.withColumn("x", F.col("x") + 0.01)
+    out = J.ablation(rows, rest, rest, ["z"], ["z", "x"], "label", "fold", "pool", "key", M.GATES["influence"], "count", TREES, (planted, late), "x")
+    return {r["metric"]: r["value"] for r in out.collect()}
+
+
+@pytest.mark.parametrize("rules", sorted(k for k in M.GATES if not k.startswith("evidence")))
+def test_every_rule_set_finds_its_metrics(ablated, rules):
+    assert {m for m, _, _ in M.GATES[rules]} <= ablated.keys()
+    assert all(ablated[m] is not None for m, _, _ in M.GATES[rules])
+
+
+def test_ablation_values(ablated):
+    assert ablated["cand_ap"] > 0.9 > ablated["base_ap"] and ablated["ap_delta"] == pytest.approx(ablated["cand_ap"] - ablated["base_ap"])
+    assert ablated["worst_ap"] > 0.9 and 0 <= ablated["directional_gap"] <= 0.1
+    assert ablated["early_to_late_delta"] > 0.2 and ablated["late_to_early_delta"] > 0.2 and ablated["time_fold_delta"] > 0
+    assert ablated["gate:worst_ap"] == 1 and ablated["gate:overall"] == min(v for k, v in ablated.items() if k.startswith("gate:"))
