@@ -143,6 +143,15 @@ def test_a_hand_of_20000_members_is_spread(spark):
     assert blocks * (blocks + 1) // 2 * block**2 >= total and met.columns == ["hand_id", "low", "high"]
 
 
+def test_pool_of_a_pair_comes_from_its_shared_groups_beside_a_crowd(spark, rows):
+    """The pool was the least of all groups of the lower member once any group was large."""
+    seats = [(1, p, 9) for p in range(6)] + [(2, 0, 7), (2, 1, 7), (3, 0, 5), (4, 2, 4), (4, 3, 4)]
+    df = spark.createDataFrame(seats, "hand_id int, player_id int, table_id int")
+    for small_group in (2, 16):
+        met = P.met_pairs(df, "table_id", 2, small_group=small_group)
+        assert rows(met, "low", "high", "shared_hands", "table_id") == [(0, 1, 2, 7), (2, 3, 2, 4)]
+
+
 def test_co_membership_with_a_crowd(spark, rows):
     seats = skewed_seats(spark)
     asked = [("a", "m001", "hot"), ("b", "m005", "m006"), ("c", "m250", "m010"), ("d", "zz", "m001")]
