@@ -183,6 +183,14 @@ def test_small_pairs_are_sent_once_for_all_statistics(spark, rows):
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
 
 
+def test_listed_top_k_equals_value_counts(spark, rows):
+    df = spark.range(900).selectExpr("id % 170 AS pair_id", "id * 37 % 11 AS a", "IF(id % 3 = 0 OR id % 170 = 5, NULL, id % 7) AS b")
+    got = A.topk_summary(df, ["pair_id"], ["a", "b"], 3, "x_", largest=6)
+    want = A.topk_summary(df, ["pair_id"], ["a", "b"], 3, "x_")
+    near = lambda d: d.select("pair_id", *[F.round(c, 9).alias(c) for c in sorted(d.columns) if c != "pair_id"])
+    assert rows(near(got)) == rows(near(want))
+
+
 def test_inversion_changes_brute(spark):
     df = spark.range(200).select(
         "id", (F.col("id") % 4 == 0).cast("int").alias("y"), (F.col("id") * 37 % 23).cast("double").alias("a"),
