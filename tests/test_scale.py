@@ -344,3 +344,32 @@ def test_ranks_of_hot_values_are_not_one_key(spark, rows):
             assert "BroadcastHashJoin" in plan and ("__salt" in plan or "SortMergeJoin" not in plan)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def fullest(df):
+    """Rows of the fullest task."""
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_tasks_follow_rows(spark, rows, monkeypatch):
+    """Seats and their actions are dealt by rows, not by shuffled bytes."""
+    import pairsift.scale as S
+    from catalog.base import Tables
+
+    lines = spark.range(6000).select(
+        F.floor(F.col("id") / 4).alias("l_orderkey"), (F.col("id") * 7 % 50).alias("l_suppkey"), (F.col("id") % 4 + 1).cast("int").alias("l_linenumber"),
+        *[(F.col("id") % n).cast("double").alias(c) for c, n in {"l_quantity": 50, "l_extendedprice": 900}.items()],
+        *[(F.col("id") % 9 / 100).alias(c) for c in ("l_tax", "l_discount")], F.lit("R").alias("l_returnflag"), F.lit("F").alias("l_linestatus"),
+    )
+    hands = spark.range(1500).select(F.col("id").alias("hand_id"), F.lit(100.0).alias("big_blind"))
+
+    def made():
+        t = Tables(spark, "/nowhere")
+        t.raw["lineitem"], t.hands = lines, hands
+        return t.seats, t.action_features
+
+    whole = made()
+    monkeypatch.setattr(S, "TASK_ROWS", 100)
+    for a, b, most in zip(whole, made(), (200, 200)):
+        assert fullest(b) <= most < fullest(a)
+        same(rows, a, b)
