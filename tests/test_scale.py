@@ -352,7 +352,7 @@ def fullest(df):
 
 
 def test_tasks_follow_rows(spark, rows, monkeypatch):
-    """Seats and their actions are dealt by rows, not by shuffled bytes."""
+    """Seats, their actions and the hands whose pairs are listed are dealt by rows, not by shuffled bytes."""
     import pairsift.scale as S
     from catalog.base import Tables
 
@@ -366,10 +366,10 @@ def test_tasks_follow_rows(spark, rows, monkeypatch):
     def made():
         t = Tables(spark, "/nowhere")
         t.raw["lineitem"], t.hands = lines, hands
-        return t.seats, t.action_features
+        return t.seats, t.action_features, P.co_membership(t.seats)
 
     whole = made()
     monkeypatch.setattr(S, "TASK_ROWS", 100)
-    for a, b, most in zip(whole, made(), (200, 200)):
+    for a, b, most in zip(whole, made(), (200, 200, 300)):
         assert fullest(b) <= most < fullest(a)
         same(rows, a, b)
