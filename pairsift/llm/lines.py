@@ -13,11 +13,12 @@ Blank lines resemble nothing and stay.
    floor(n / 5) + 1 and floor(m / 5) + 1 (prefix filter); sizes differ by a fifth at most
    (length filter); after their first common token enough tokens must be left (positional
    filter); and a 64-bit parity sketch bounds the difference of the sets from below.
-4. Crowds: each class first meets one class for each of its last prefix tokens, the same
-   for a whole crowd, which settles most members of a large group. Only classes still unsettled then look for
-   an earlier match among all classes.
-5. Candidates are compared by parity sketches of 256 slots, and what is left on their full
-   token sets, read again from the text.
+4. Crowds: each class first meets the earliest class with the same pair of least-hashed prefix
+   tokens and about the same size, under several hashes. That settles most members of a
+   large group. Only classes still unsettled then look for an earlier match among all classes.
+5. Candidates are compared by parity sketches of 256 slots, those of long lines (which fill
+   64 slots, whatever they hold) already in the join; what is left on their full token sets,
+   read again from the text.
 
 A null doc_id counts as the smallest. Rows that repeat a doc_id have the same places, which
 are not earlier than each other; they are told apart by a hash of their texts, so each row
@@ -35,8 +36,10 @@ from .common import discard, staged
 BUCKETS = 1 << 16
 #: Parts of a crowd, each with its own first class.
 SHARES = 8
-#: Prefix tokens, the commonest ones, whose first class settles crowds.
-LEADERS = 3
+#: Pairs of hashes, each naming an earliest class that settles crowds.
+LEADERS = 4
+#: Lines of more tokens carry the sketch of 256 slots.
+LONG = 64
 #: Bits of the filters that spare lines a shuffle; fixed, and followed by an exact join.
 FILTER_BITS = 1 << 22
 _SPACES = "\t\n\x0b\x0c\r"
@@ -120,7 +123,7 @@ def _maybe(bits: Column) -> Column:
 
 
 def line_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every line with tokens (d, t, l, k1, k2, n, parity, prefix), and the rank table."""
+    """Every line with tokens (d, t, l, k1, k2, n, parity, wide, prefix), and the rank table."""
     ranks = token_ranks(docs)
     # Not a filter on the codes: pushed below them, it would compute every line's codes twice.
     written = F.btrim("line") != ""
@@ -129,15 +132,17 @@ def line_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = made.select(
         "d", "t", "l", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), n.alias("n"),
         F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(_bit(c))).alias("parity"),
+        F.when(n > LONG, F.array(*_sketch(F.col("codes")))).alias("wide"),
         F.transform(F.slice("codes", 1, (n / 5).cast("int") + 1), lambda c: F.hash(c)).alias("prefix"),
     )
     return staged(lines, "lines"), ranks
 
 
-def _index(classes: DataFrame, tokens: Column) -> DataFrame:
-    """tok, cid, meta (n, place in the prefix, open), parity: a row per class and token."""
+def _index(classes: DataFrame, tokens: Column, *more: str) -> DataFrame:
+    """tok, cid, meta (n, place in the prefix, open), parity, wide: a row per class and token."""
     meta = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("t.i").cast("long"), 1)).bitwiseOR(F.col("open").cast("long"))
-    return classes.select("cid", "n", "open", "parity", F.explode(tokens).alias("t")).select(F.col("t.tok").alias("tok"), "cid", meta.alias("meta"), "parity")
+    rows = classes.select("cid", "n", "open", "parity", "wide", *more, F.explode(tokens).alias("t"))
+    return rows.select(F.col("t.tok").alias("tok"), "cid", meta.alias("meta"), "parity", "wide", *more)
 
 
 def _numbered(prefix: str) -> Column:
@@ -150,11 +155,14 @@ def _near(x: str, y: str) -> Column:
     n = {s: F.shiftright(meta[s], 32) for s in (x, y)}
     left = {s: n[s] - F.shiftright(meta[s], 1).bitwiseAND((1 << 31) - 1) for s in (x, y)}
     total = n[x] + n[y]
+    # Null, hence no bound, if one of the two is not long.
+    apart = sum(F.bit_count(F.get(f"{x}wide", F.lit(i)).bitwiseXOR(F.get(f"{y}wide", F.lit(i)))) for i in range(4))
     return (
         (5 * F.least(n[x], n[y]) >= 4 * F.greatest(n[x], n[y]))
         & (9 * F.least(left[x], left[y]) >= 4 * total)
         & (9 * F.bit_count(F.col(f"{x}parity").bitwiseXOR(F.col(f"{y}parity"))) <= total)
         & (meta[x].bitwiseOR(meta[y]).bitwiseAND(1) == 1)
+        & F.coalesce(9 * apart <= total, F.lit(True))
     )
 
 
@@ -169,20 +177,26 @@ def _placed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _crowd_pairs(classes: DataFrame) -> DataFrame:
-    """Each class with the first class, by number, for each of its last prefix tokens, of
-    those in the same one of SHARES parts; so no token keeps a crowd in one task."""
-    last = F.slice(_numbered("prefix"), F.greatest(F.size("prefix") - (LEADERS - 1), F.lit(1)), LEADERS)
-    rows = _index(classes, last).withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(SHARES)))
-    ordered = W.partitionBy("tok", "part").orderBy("cid")
-    led = rows.select("*", *[F.first(c).over(ordered).alias(f"x{c}") for c in ("cid", "meta", "parity")])
-    named = led.select("xcid", "xmeta", "xparity", F.col("cid").alias("ycid"), F.col("meta").alias("ymeta"), F.col("parity").alias("yparity"))
+    """Each class with the earliest class of each of its crowds, in the same one of SHARES
+    parts; so no crowd stays in one task. A crowd shares the two tokens of the prefix with
+    the least hashes and the size up to a half; one token alone is shared by too many others."""
+
+    def least(seed: int) -> Column:
+        return F.array_min(F.transform("prefix", lambda t: F.hash(t, F.lit(seed))))
+
+    size = F.floor(F.log("n") / F.log(F.lit(1.5)))
+    keys = [F.struct(F.xxhash64(F.lit(i), size, least(2 * i), least(2 * i + 1)).alias("tok"), F.lit(0).alias("i")) for i in range(LEADERS)]
+    rows = _index(classes, F.array(*keys), "d", "l").withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(SHARES)))
+    ordered = W.partitionBy("tok", "part").orderBy("d", "l", "cid")
+    led = rows.select("*", *[F.first(c).over(ordered).alias(f"x{c}") for c in ("cid", "meta", "parity", "wide")])
+    named = led.select("xcid", "xmeta", "xparity", "xwide", *[F.col(c).alias(f"y{c}") for c in ("cid", "meta", "parity", "wide")])
     return _placed(named.where(F.col("xcid") != F.col("ycid")).where(_near("x", "y")).selectExpr("xcid AS a", "ycid AS b").distinct(), classes)
 
 
 def _all_pairs(classes: DataFrame) -> DataFrame:
     """Open classes with every earlier class that the filters leave."""
     rows = _index(classes, _numbered("prefix"))
-    x, y = (rows.select("tok", *[F.col(c).alias(f"{s}{c}") for c in ("cid", "meta", "parity")]) for s in "xy")
+    x, y = (rows.select("tok", *[F.col(c).alias(f"{s}{c}") for c in ("cid", "meta", "parity", "wide")]) for s in "xy")
     met = x.join(y, "tok").where((F.col("xcid") < F.col("ycid")) & _near("x", "y"))
     return _placed(met.selectExpr("xcid AS a", "ycid AS b").distinct(), classes)
 
@@ -236,8 +250,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines, ranks = line_sets(docs)
     classes = staged(
         lines.groupBy("k1", "k2").agg(
-            F.min(F.struct("d", "l", "t")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")
-        ).select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "first.d", "first.t", "first.l", "n", "parity", "prefix"), "classes",
+            F.min(F.struct("d", "l", "t")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix")
+        ).select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "first.d", "first.t", "first.l", "n", "parity", "wide", "prefix"), "classes",
     )
     at_first = classes.withColumn("open", F.lit(1))
     settled = _verified(docs, ranks, staged(_crowd_pairs(at_first), "crowd"))

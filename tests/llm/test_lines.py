@@ -90,3 +90,30 @@ def test_native(spark):
     """No Python runs on the executors."""
     plan = lines.deduplicate(odd_documents(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_crowds_among_common_words(spark, monkeypatch):
+    """A group of near lines is settled by its own earliest lines, and long lines that share
+    a few words are told apart, before pairs are listed."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    base = [rng.choice(words) + str(i % 3) for i in range(70)]
+    docs = [(i, " ".join(rng.choice(words) + str(rng.randrange(3)) for _ in range(8))) for i in range(200)]
+    for i in range(300):
+        near = list(base)
+        for at in rng.sample(range(70), 3):
+            near[at] = rng.choice(words) + str(rng.randrange(3))
+        docs.append((1000 + i, " ".join(near)))
+    docs += [(2000 + i, " ".join([f"r{i % 3}", *(f"v{rng.randrange(40000)}" for _ in range(160))])) for i in range(90)]
+    listed = []
+
+    def staged(df, name="stage", made=lines.staged):
+        out = made(df, name)
+        if name == "pairs":
+            listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "staged", staged)
+    got = lines.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == brute(docs)
+    assert listed[0] < 6000, listed
