@@ -37,9 +37,9 @@ BUCKETS = 1 << 16
 #: Parts of a crowd, each with its own first class.
 SHARES = 8
 #: Pairs of hashes, each naming an earliest class that settles crowds.
-LEADERS = 4
+LEADERS = 6
 #: Lines of more tokens carry the sketch of 256 slots.
-LONG = 64
+LONG = 48
 #: Bits of the filters that spare lines a shuffle; fixed, and followed by an exact join.
 FILTER_BITS = 1 << 22
 _SPACES = "\t\n\x0b\x0c\r"
