@@ -10,15 +10,17 @@ Blank lines resemble nothing and stay.
    as distinct as the 64-bit hash.
 2. Lines with equal token sets are one class, at its earliest place; later ones go.
 3. Two sets of n and m tokens with similarity 0.8 share a token among the first
-   floor(n / 5) + 1 and floor(m / 5) + 1 (prefix filter); sizes differ by a fifth at most
-   (length filter); after their first common token enough tokens must be left (positional
-   filter); and a 64-bit parity sketch bounds the difference of the sets from below.
-4. Crowds: each class first meets the earliest class with the same pair of least-hashed prefix
-   tokens and about the same size, under several hashes. That settles most members of a
-   large group. Only classes still unsettled then look for an earlier match among all classes.
-5. Candidates are compared by parity sketches of 256 slots, those of long lines (which fill
-   64 slots, whatever they hold) already in the join; what is left on their full token sets,
-   read again from the text.
+   floor(n / 5) + 1 and floor(m / 5) + 1, for the smaller set floor(n / 9) + 1 (prefix filter);
+   sizes differ by a fifth at most (length filter); after their first common token enough
+   tokens must be left (positional filter); and a parity sketch of 64 slots, for long lines
+   (which fill 64, whatever they hold) of 128, bounds the difference of the sets from below.
+4. Crowds: classes of about the same size that agree in two of four tokens, picked by hash
+   from the whole line, form a crowd; there are four such pairs. Each class is first compared with one earlier class,
+   the nearest by sketch of the earliest and of those just before it in its crowds. That
+   settles most members of a large group. Only classes still unsettled then look for an
+   earlier match among all classes.
+5. Candidates are compared by parity sketches of 256 slots; what is left on their full token
+   sets, read again from the text.
 
 A null doc_id counts as the smallest. Rows that repeat a doc_id have the same places, which
 are not earlier than each other; they are told apart by a hash of their texts, so each row
@@ -36,9 +38,11 @@ from .common import discard, staged
 BUCKETS = 1 << 16
 #: Parts of a crowd, each with its own first class.
 SHARES = 8
-#: Pairs of hashes, each naming an earliest class that settles crowds.
-LEADERS = 6
-#: Lines of more tokens carry the sketch of 256 slots.
+#: Pairs of picked tokens, each naming crowds.
+CROWDS = ((0, 1), (2, 3), (0, 2), (1, 3))
+#: Classes of a crowd that each class meets beside the earliest one.
+AGO = 2
+#: Lines of more tokens have a sketch of 128 slots, others of 64.
 LONG = 48
 #: Bits of the filters that spare lines a shuffle; fixed, and followed by an exact join.
 FILTER_BITS = 1 << 22
@@ -78,14 +82,26 @@ def token_ranks(docs: DataFrame) -> DataFrame:
     )
 
 
-def _codes(line: Column, ranks: Column) -> Column:
+def _hashes(line: Column) -> Column:
+    """Hashes of a line's distinct tokens."""
+    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+
+
+def _codes(hashes: Column, ranks: Column) -> Column:
     """Sorted codes of a line's distinct tokens, rare ones first."""
 
     def code(h: Column) -> Column:
         return F.shiftleft(F.get(ranks, _bucket(h).cast("int")), 48).bitwiseOR(h.bitwiseAND((1 << 48) - 1))
 
-    # Hashes first, codes from them: a lambda would hash a word at every mention.
-    return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), code))
+    return F.sort_array(F.transform(hashes, code))
+
+
+def _picks(hashes: Column) -> Column:
+    """Four tokens that similar lines likely share: least and greatest hash of either half of
+    them. Rare tokens would not do, as those are what edits bring in."""
+    halves = [F.filter(hashes, lambda h: h.bitwiseAND(1) == i) for i in range(2)]
+    picked = [f(half) for half in halves for f in (F.array_min, F.array_max)]
+    return F.array(*[F.when(p.isNotNull(), F.hash(p)) for p in picked])
 
 
 def _bit(number: Column) -> Column:
@@ -93,14 +109,21 @@ def _bit(number: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(63).cast("int"))
 
 
+def _parity(codes: Column) -> Column:
+    """How many codes fall into each of 64 slots, modulo two."""
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(_bit(c)))
+
+
 def _places(docs: DataFrame) -> DataFrame:
     """d, t, l, line of every line, lower-cased and with plain blanks only."""
     return docs.select("d", "t", F.posexplode(F.split(_plain(F.col("text"), _SPACES.replace("\n", "")), "\n")).alias("l", "line"))
 
 
 def _coded(places: DataFrame, ranks: DataFrame) -> DataFrame:
-    """d, t, l, codes. The ranks come from a scalar subquery, which is evaluated once."""
-    return places.select("d", "t", "l", "line", ranks.scalar().alias("ranks")).select("d", "t", "l", _codes(F.col("line"), F.col("ranks")).alias("codes"))
+    """d, t, l, hashes, codes. The ranks come from a scalar subquery, which is evaluated once."""
+    # Hashes first, codes from them: a lambda would hash a word at every mention.
+    hashed = places.select("d", "t", "l", _hashes(F.col("line")).alias("hashes"), ranks.scalar().alias("ranks"))
+    return hashed.select("d", "t", "l", "hashes", _codes(F.col("hashes"), F.col("ranks")).alias("codes"))
 
 
 def _filter_of(keys: DataFrame) -> DataFrame:
@@ -123,7 +146,9 @@ def _maybe(bits: Column) -> Column:
 
 
 def line_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every line with tokens (d, t, l, k1, k2, n, parity, wide, prefix), and the rank table."""
+    """Every line with tokens (d, t, l, k1, k2, n, parity, high, picks, prefix), and the rank table.
+
+    `parity` is a sketch of 64 slots, `high` that of a long line's tokens in the upper half of 128."""
     ranks = token_ranks(docs)
     # Not a filter on the codes: pushed below them, it would compute every line's codes twice.
     written = F.btrim("line") != ""
@@ -131,74 +156,114 @@ def line_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = F.size("codes")
     lines = made.select(
         "d", "t", "l", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit(1), "codes").alias("k2"), n.alias("n"),
-        F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(_bit(c))).alias("parity"),
-        F.when(n > LONG, F.array(*_sketch(F.col("codes")))).alias("wide"),
+        _parity(F.col("codes")).alias("parity"),
+        F.when(n > LONG, _parity(F.filter("codes", lambda c: c.bitwiseAND(64) != 0))).otherwise(F.lit(0).cast("long")).alias("high"),
+        _picks(F.col("hashes")).alias("picks"),
         F.transform(F.slice("codes", 1, (n / 5).cast("int") + 1), lambda c: F.hash(c)).alias("prefix"),
     )
     return staged(lines, "lines"), ranks
 
 
-def _index(classes: DataFrame, tokens: Column, *more: str) -> DataFrame:
-    """tok, cid, meta (n, place in the prefix, open), parity, wide: a row per class and token."""
-    meta = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("t.i").cast("long"), 1)).bitwiseOR(F.col("open").cast("long"))
-    rows = classes.select("cid", "n", "open", "parity", "wide", *more, F.explode(tokens).alias("t"))
-    return rows.select(F.col("t.tok").alias("tok"), "cid", meta.alias("meta"), "parity", "wide", *more)
+#: What an index row of a class holds beside its token: its place, meta (n, place in the prefix, open) and sketch.
+_ROW = ("d", "l", "t", "meta", "parity", "high")
+
+
+def _index(classes: DataFrame, tokens: Column) -> DataFrame:
+    """tok and _ROW: a row per class and token."""
+    meta = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("e.i").cast("long"), 1)).bitwiseOR(F.col("open").cast("long"))
+    rows = classes.select("d", "l", "t", "n", "open", "parity", "high", F.explode(tokens).alias("e"))
+    return rows.select(F.col("e.tok").alias("tok"), "d", "l", "t", meta.alias("meta"), "parity", "high")
 
 
 def _numbered(prefix: str) -> Column:
     return F.transform(prefix, lambda t, i: F.struct(t.alias("tok"), i.alias("i")))
 
 
+def _size(side: str) -> Column:
+    return F.shiftright(F.col(f"{side}meta"), 32)
+
+
+def _order(side: str) -> Column:
+    """Number of prefix tokens before this one."""
+    return F.shiftright(F.col(f"{side}meta"), 1).bitwiseAND((1 << 31) - 1)
+
+
+def _open(side: str) -> Column:
+    return F.col(f"{side}meta").bitwiseAND(1) == 1
+
+
+def _before(x: str, y: str) -> Column:
+    """Classes at one place, of rows that repeat a doc_id, are not earlier than each other."""
+    return F.expr(f"{x}d < {y}d OR ({x}d = {y}d AND {x}l < {y}l)")
+
+
+def _apart(x: str, y: str) -> Column:
+    """Least number of tokens in which two classes differ, by their sketches."""
+    whole, high = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in ("parity", "high"))
+    fine = F.bit_count(high) + F.bit_count(whole.bitwiseXOR(high))
+    return F.when(F.least(_size(x), _size(y)) > LONG, fine).otherwise(F.bit_count(whole))
+
+
 def _near(x: str, y: str) -> Column:
-    """The length, positional and parity filters for index rows of two classes, one of them open."""
-    meta = {s: F.col(f"{s}meta") for s in (x, y)}
-    n = {s: F.shiftright(meta[s], 32) for s in (x, y)}
-    left = {s: n[s] - F.shiftright(meta[s], 1).bitwiseAND((1 << 31) - 1) for s in (x, y)}
+    """The length, positional and parity filters for index rows of two classes."""
+    n = {s: _size(s) for s in (x, y)}
+    left = {s: n[s] - _order(s) for s in (x, y)}
     total = n[x] + n[y]
-    # Null, hence no bound, if one of the two is not long.
-    apart = sum(F.bit_count(F.get(f"{x}wide", F.lit(i)).bitwiseXOR(F.get(f"{y}wide", F.lit(i)))) for i in range(4))
     return (
         (5 * F.least(n[x], n[y]) >= 4 * F.greatest(n[x], n[y]))
         & (9 * F.least(left[x], left[y]) >= 4 * total)
-        & (9 * F.bit_count(F.col(f"{x}parity").bitwiseXOR(F.col(f"{y}parity"))) <= total)
-        & (meta[x].bitwiseOR(meta[y]).bitwiseAND(1) == 1)
-        & F.coalesce(9 * apart <= total, F.lit(True))
+        & (9 * _apart(x, y) <= total)
     )
 
 
-def _placed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of class numbers as lines (dx, tx, lx) at places before those of
-    (dy, ty, ly), where the later class is open."""
-    side = lambda s: classes.select(F.col("cid").alias(s), F.struct("d", "l", "t", "open").alias(f"p{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y"))
-    # Classes at one place, of rows that repeat a doc_id, are not earlier than each other.
-    before = "x.d < y.d OR (x.d = y.d AND x.l < y.l)"
-    return both.where(f"y.open = 1 AND ({before})").selectExpr("x.d AS dx", "x.t AS tx", "x.l AS lx", "y.d AS dy", "y.t AS ty", "y.l AS ly")
-
-
 def _crowd_pairs(classes: DataFrame) -> DataFrame:
-    """Each class with the earliest class of each of its crowds, in the same one of SHARES
-    parts; so no crowd stays in one task. A crowd shares the two tokens of the prefix with
-    the least hashes and the size up to a half; one token alone is shared by too many others."""
-
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform("prefix", lambda t: F.hash(t, F.lit(seed))))
-
+    """Each class with one earlier class, that of least difference by the sketches among the
+    earliest of its crowds and the last AGO before it, in the same one of SHARES parts; so no
+    crowd stays in one task. A crowd shares two picks and the size up to a half; one token
+    alone is shared by too many others."""
     size = F.floor(F.log("n") / F.log(F.lit(1.5)))
-    keys = [F.struct(F.xxhash64(F.lit(i), size, least(2 * i), least(2 * i + 1)).alias("tok"), F.lit(0).alias("i")) for i in range(LEADERS)]
-    rows = _index(classes, F.array(*keys), "d", "l").withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(SHARES)))
-    ordered = W.partitionBy("tok", "part").orderBy("d", "l", "cid")
-    led = rows.select("*", *[F.first(c).over(ordered).alias(f"x{c}") for c in ("cid", "meta", "parity", "wide")])
-    named = led.select("xcid", "xmeta", "xparity", "xwide", *[F.col(c).alias(f"y{c}") for c in ("cid", "meta", "parity", "wide")])
-    return _placed(named.where(F.col("xcid") != F.col("ycid")).where(_near("x", "y")).selectExpr("xcid AS a", "ycid AS b").distinct(), classes)
+    part = F.pmod(F.xxhash64("d", "l", "t"), F.lit(SHARES))
+
+    def key(a: int, b: int) -> Column:
+        x, y = F.get("picks", F.lit(a)), F.get("picks", F.lit(b))
+        named = F.struct(F.xxhash64(F.lit(a), F.lit(b), size, part, x, y).alias("tok"), F.lit(0).alias("i"))
+        return F.when(x.isNotNull() & y.isNotNull(), named)
+
+    keys = [key(a, b) for a, b in CROWDS]
+    ordered = W.partitionBy("tok").orderBy("d", "l", "t")
+    own = F.struct(*_ROW)
+    met = _index(classes, F.array_compact(F.array(*keys))).select(
+        *[F.col(c).alias(f"y{c}") for c in _ROW], F.first(own).over(ordered).alias("x0"), *[F.lag(own, i).over(ordered).alias(f"x{i}") for i in range(1, AGO + 1)]
+    )
+    # The first of a crowd, hence every class without one, has nobody before it.
+    met = met.where("x1 IS NOT NULL")
+    for i in range(AGO + 1):
+        met = met.select("*", *[F.col(f"x{i}.{c}").alias(f"x{i}{c}") for c in _ROW])
+    found = [
+        F.when(_before(f"x{i}", "y") & _near(f"x{i}", "y"), F.struct(_apart(f"x{i}", "y").alias("apart"), *[F.col(f"x{i}{c}").alias(f"{c}x") for c in "dtl"]))
+        for i in range(AGO + 1)
+    ]
+    best = met.select(*[F.col(f"y{c}").alias(f"{c}y") for c in "dtl"], F.least(*found).alias("x")).where("x IS NOT NULL")
+    return best.groupBy("dy", "ty", "ly").agg(F.min("x").alias("x")).select("x.dx", "x.tx", "x.lx", "dy", "ty", "ly")
 
 
 def _all_pairs(classes: DataFrame) -> DataFrame:
-    """Open classes with every earlier class that the filters leave."""
+    """Open classes with every earlier class that the filters leave.
+
+    The smaller class of a pair shares a token among its first floor(n / 9) + 1 already, so
+    only the larger one is looked up by all tokens of its prefix.
+    """
     rows = _index(classes, _numbered("prefix"))
-    x, y = (rows.select("tok", *[F.col(c).alias(f"{s}{c}") for c in ("cid", "meta", "parity", "wide")]) for s in "xy")
-    met = x.join(y, "tok").where((F.col("xcid") < F.col("ycid")) & _near("x", "y"))
-    return _placed(met.selectExpr("xcid AS a", "ycid AS b").distinct(), classes)
+    small, large = (rows.select("tok", *[F.col(c).alias(f"{s}{c}") for c in _ROW]) for s in "sb")
+    place = {s: F.struct(*[F.col(f"{s}{c}").alias(c) for c in "dtl"]) for s in "sb"}
+    first = _before("s", "b")
+    # The lesser size is the small one's; as a filter on `small` alone it would cost a second shuffle.
+    early = 9 * _order("s") <= F.least(_size("s"), _size("b"))
+    met = small.join(large, "tok").where(
+        early & (_size("s") <= _size("b")) & ((first & _open("b")) | ((_size("s") < _size("b")) & _before("b", "s") & _open("s"))) & _near("s", "b")
+    )
+    pairs = met.select(F.when(first, place["s"]).otherwise(place["b"]).alias("x"), F.when(first, place["b"]).otherwise(place["s"]).alias("y"))
+    return pairs.select(*[F.col(f"{s}.{c}").alias(f"{c}{s}") for s in "xy" for c in "dtl"]).distinct()
 
 
 def _sketch(codes: Column) -> list[Column]:
@@ -250,8 +315,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines, ranks = line_sets(docs)
     classes = staged(
         lines.groupBy("k1", "k2").agg(
-            F.min(F.struct("d", "l", "t")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix")
-        ).select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "first.d", "first.t", "first.l", "n", "parity", "wide", "prefix"), "classes",
+            F.min(F.struct("d", "l", "t")).alias("first"), *[F.first(c).alias(c) for c in ("n", "parity", "high", "picks", "prefix")]
+        ).select("k1", "k2", "first.d", "first.t", "first.l", "n", "parity", "high", "picks", "prefix"), "classes",
     )
     at_first = classes.withColumn("open", F.lit(1))
     settled = _verified(docs, ranks, staged(_crowd_pairs(at_first), "crowd"))

@@ -117,3 +117,27 @@ def test_crowds_among_common_words(spark, monkeypatch):
     got = lines.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r.doc_id: r.text for r in got.collect()} == brute(docs)
     assert listed[0] < 6000, listed
+
+
+def test_crowd_whose_edits_are_rare_words(spark, monkeypatch):
+    """A member of a crowd is first compared with one other line, and few pairs are listed then."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(10))) for i in range(300)]
+    for i in range(700):
+        near = list(base)
+        for at in rng.sample(range(60), 3):
+            near[at] = f"x{rng.randrange(100000)}"
+        docs.append((1000 + i, " ".join(near)))
+    listed = {}
+
+    def staged(df, name="stage", made=lines.staged):
+        out = made(df, name)
+        if name in ("crowd", "pairs"):
+            listed[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lines, "staged", staged)
+    got = lines.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == brute(docs)
+    assert listed["crowd"] <= len(docs) and listed["pairs"] < 5000, listed
