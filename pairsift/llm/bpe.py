@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import arrow_columns, list_array
 
 _NONE = 1 << 62
-#: Runs remembered per worker, each of up to SHORT characters; the store is emptied when full.
+#: Runs remembered per worker, each of up to SHORT characters; a full store is kept as the older one.
 REMEMBERED, SHORT = 300_000, 100
 #: Pieces of up to so many bytes are merged in step, one tree a row; longer ones one by one.
 TOGETHER = 64
@@ -132,6 +132,7 @@ class Codec:
         self.ranks = vocabulary(path)
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         size = max(self.ranks.values()) + 1
         names = [b""] * size
         for name, i in self.ranks.items():
@@ -229,8 +230,11 @@ class Codec:
         cut = runs_of(texts)
         runs = set().union(*[p[1:] for p in cut])
         if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self._learn(runs - self.known.keys())
+            # Runs met since the last change stay within reach, others go.
+            self.known, self.older = {}, self.known
+        missing = runs - self.known.keys()
+        self.known.update((r, self.older[r]) for r in missing & self.older.keys())
+        self._learn(missing - self.older.keys())
         first = [self.pattern.findall(p[0]) for p in cut]
         got = self._encode_pieces({x for parts in first for x in parts})
         known = self.known.__getitem__

@@ -67,3 +67,14 @@ def test_long_runs_are_not_remembered():
     got = coder.encode_batch(["a " + "b" * 500 + " c", "a " + "b" * 500])
     assert max(map(len, coder.known)) <= bpe.SHORT
     assert coder.decode(got[0]) == b"a " + b"b" * 500 + b" c"
+
+
+def test_frequent_runs_outlive_a_full_store(monkeypatch):
+    """When the store of runs is full, those in use are not encoded anew."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 4)
+    codec, learnt = bpe.Codec(BPE_RANKS, public_tokenizers.PATTERN), []
+    monkeypatch.setattr(codec, "_learn", lambda runs, learn=codec._learn: (learnt.extend(runs), learn(runs)))
+    texts = [f"a common word and new{i} other{i}" for i in range(40)]
+    got = [codec.encode(t) for t in texts]
+    assert learnt.count("common") == 1
+    assert [codec.decode(x).decode() for x in got] == texts
