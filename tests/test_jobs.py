@@ -1,6 +1,9 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import models
 from pairsift.operators import metrics as M, quality as Q, resample as R
 from pairsift.plans import jobs as J, ml
 from pairsift.sources import sinks, tables as T
@@ -109,6 +112,37 @@ def test_time_transfer_columns(planted):
     assert out.count() == 240 and {"early_to_late", "late_to_early"} <= set(out.columns)
 
 
+def test_time_transfer_equals_fits_one_after_another(planted):
+    halves = {"early": planted, "late": planted.withColumn("x", F.col("x") + 0.2)}
+    out = ml.time_transfer(*halves.values(), ["x"], "label", "fold", "key", TREES)
+    ready = {k: ml.with_features(d, ["x"]) for k, d in halves.items()}
+    for i, src in enumerate(ready):
+        for j, f in enumerate(ml._folds(planted, "fold")):
+            model = TREES.fit(ready[src].where(F.col("fold") != f), shift=20 * i + j)
+            for dst in ready:
+                alone = ml.score(model, ready[dst].where(F.col("fold") == f), "alone").select("key", "alone")
+                gap = out.join(alone, "key").agg(F.count("key"), F.max(F.abs(F.col(f"{src}_to_{dst}") - F.col("alone")))).first()
+                assert gap[0] == planted.where(F.col("fold") == f).count() and gap[1] < 1e-9
+
+
+def test_time_transfer_query_fits_whole_models(spark, monkeypatch):
+    """Every model of the query has the operator's own number and depth of trees."""
+    asked, fit = [], ml.Trees.fit
+
+    def one_tree(self, df, label="label", weight=None, shift=0):
+        asked.append((self, shift))
+        return fit(ml.Trees(1, depth=1), df, label, weight, shift)
+
+    monkeypatch.setattr(ml.Trees, "fit", one_tree)
+    i = F.col("id")
+    hands = spark.range(600).select(
+        (i % 60).cast("string").alias("pair_id"), (i % 5).cast("int").alias("outer_fold"), (F.floor(i / 60) / 10).alias("phase_progress"),
+        (i % 3 == 0).cast("int").alias("is_evidence"), *[(i * k % 17).cast("double").alias(c) for k, c in enumerate(models.RANKED, 3)])
+    out = models.time_transfer(SimpleNamespace(evidence_hands=hands, stage=lambda d: d))
+    assert out.count() == 60 and sorted(shift for _, shift in asked) == [*range(5), *range(20, 25)]
+    assert {t for t, _ in asked} == {ml.Trees()} == {ml.Trees(max_iter=280, step=0.055, depth=5, min_rows=12, seed=7401)}
+
+
 def test_bags_come_from_training_folds(planted):
     draws = R.bag_sample(planted.drop("label"), planted, "key", "fold", "label", 2, 3)
     bad = draws.join(planted.select("key", "fold"), "key").where("fold = held_out")
